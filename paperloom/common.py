@@ -59,3 +59,19 @@ def temp_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def join_dictionary(df: DataFrame, dictionary: DataFrame, on: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """Join a dictionary, unique in ``on``, to rows of which one key may hold a third.
+
+    A dictionary of proven size is broadcast.  A larger one is repeated ``salts`` times
+    and joined on key and salt, so the rows of a hot key spread over as many tasks.
+    """
+    hinted = broadcast_if_small(dictionary)
+    if hinted is not dictionary:
+        return df.join(hinted, on, how)
+    (salt,) = temp_names(df, "salt")
+    spread = dictionary.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the salt comes from the row itself, so a task that runs again makes the same one
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if dict(df.dtypes)[c][:3] != "map"]), F.lit(salts)).cast("int"))
+    return salted.join(spread, [*on, salt], how).drop(salt)
