@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.common import table
+from paperloom.llm import consensus as C
 from paperloom.llm.encode import encode
 from paperloom.llm.mixing import p8_mix, p8_shares
 from paperloom.llm.survivorship import field_value_survivors, survivor_rows
@@ -23,6 +25,37 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("document_id", "field", "n_records", *[c for a in SURVIVING for c in (best[f"{a}.value"].alias(a), best[f"{a}.row_id"].alias(f"{a}_fv_id"))])
 
 
+def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, C.Consensus]:
+    reviews = table(spark, sf_dir, "import_corrections")
+    latest = C.latest_answers(reviews)
+    return reviews, latest, C.fit(latest, reviews.select(F.col("task_id").alias("item")), C.VERDICTS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir)[2].items.select(F.col("item").alias("task_id"), F.col("label").alias("verdict"))
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews, latest, fitted = _panel(spark, sf_dir)
+    original = reviews.groupBy(F.col("task_id").alias("item")).agg(F.min("original_pipeline_value").alias("original"))
+    given = latest.where(F.col("label") != "unsure").groupBy("item").agg(F.count(F.lit(1)).alias("n_answers"), F.count(F.when(F.col("label") == "correct", 1)).alias("n_correct"))
+    out = fitted.items.join(original, "item", "left").join(given, "item", "left").join(C.consensus_values(latest, fitted), "item", "left")
+    n, c = F.coalesce("n_answers", F.lit(0)), F.coalesce("n_correct", F.lit(0))
+    same = (c * (c - 1) + (n - c) * (n - c - 1)) / F.when(n > 1, n * (n - 1))
+    return out.select(
+        F.col("item").alias("task_id"), F.col("label").alias("verdict"), F.col("p0").alias("p_correct"), n.alias("n_answers"), same.alias("pair_agreement"),
+        F.when(F.col("label") == "correct", F.col("original")).otherwise(F.col("value")).alias("value"), "support",
+    )
+
+
+def p3_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir)[2].annotators.withColumnRenamed("annotator", "reviewer")
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.agreement(C.latest_answers(table(spark, sf_dir, "import_corrections")).where(F.col("label") != "unsure"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -31,6 +64,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_survivors": p1_survivors,
+        "p3_found": p3_found,
+        "p3_consensus": p3_consensus,
+        "p3_reviewers": p3_reviewers,
+        "p3_agreement": p3_agreement,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
