@@ -11,6 +11,7 @@ from paperloom.common import table
 from paperloom.llm import consensus as C
 from paperloom.llm.encode import encode
 from paperloom.llm.mixing import p8_mix, p8_shares
+from paperloom.llm import truncation
 from paperloom.llm.survivorship import field_value_survivors, survivor_rows
 
 SURVIVING = ("raw_value", "evidence", "correction_date")
@@ -60,6 +61,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.detect(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -71,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": p7_ids,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_rates": p9_rates,
     }
 
 
