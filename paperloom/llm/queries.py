@@ -11,7 +11,7 @@ from paperloom.common import table
 from paperloom.llm import consensus as C
 from paperloom.llm.encode import encode
 from paperloom.llm.mixing import p8_mix, p8_shares
-from paperloom.llm import truncation
+from paperloom.llm import scan_noise, truncation
 from paperloom.llm.survivorship import field_value_survivors, survivor_rows
 
 SURVIVING = ("raw_value", "evidence", "correction_date")
@@ -26,6 +26,19 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("document_id", "field", "n_records", *[c for a in SURVIVING for c in (best[f"{a}.value"].alias(a), best[f"{a}.row_id"].alias(f"{a}_fv_id"))])
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.texts_of(table(spark, sf_dir, "page_analyses"), table(spark, sf_dir, "degraded_blocks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.find_noise(_scanned(spark, sf_dir)).select("origin", "record_id", "line_no", "kind").distinct()
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _scanned(spark, sf_dir)
+    return scan_noise.repair(texts, scan_noise.find_noise(texts))
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, C.Consensus]:
     reviews = table(spark, sf_dir, "import_corrections")
     latest = C.latest_answers(reviews)
@@ -73,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_survivors": p1_survivors,
+        "p2_found": p2_found,
+        "p2_text": p2_text,
         "p3_found": p3_found,
         "p3_consensus": p3_consensus,
         "p3_reviewers": p3_reviewers,
