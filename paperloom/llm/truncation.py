@@ -51,24 +51,19 @@ def _is_word(x: Column) -> Column:
     return ~x.isin("¶", "§", "")
 
 
-def _at(a: Column, i: Column) -> Column:
-    return F.coalesce(F.when(i >= 0, F.get(a, i)), F.lit(""))
-
-
 def endings(docs: DataFrame) -> DataFrame:
     """Of each non-blank text: what its end looks like.  Expects id, source, text."""
     end = _end(F.col("text"))
     d = docs.where(F.col("text").isNotNull()).withColumn("end", end).where("end <> ''")
     mark = F.regexp_extract("end", rf"(?i)(\s?[\[(]\s?(?:{LOST})\s?[\])]|\s?(?:\.\.\.|…))$", 1)
     d = d.withColumn("mark", mark).withColumn("base", F.expr("left(text, length(end) - length(mark))"))
-    tail = F.expr("right(base, 400)")
-    toks = F.filter(_tokens(tail), _is_word)
-    n = F.size(toks)
+    # the last three tokens as a column of its own, so that they are made once
+    d = d.withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter(_tokens(F.expr("right(base, 400)")), _is_word)), -3, 3))
     # the tail only has the last tokens; whole texts are counted below.  A single token longer than the tail stays whole there.
     return d.select(
         "id", "source", "mark", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.length("base").alias("base_chars"), F.octet_length("base").alias("base_bytes"),
-        F.expr("right(base, 40)").alias("tail"), _at(toks, n - 1).alias("last"),
-        F.xxhash64(_at(toks, n - 3), _at(toks, n - 2), _at(toks, n - 1)).alias("gram"),
+        F.expr("right(base, 40)").alias("tail"), F.get("three", 2).alias("last"),
+        F.xxhash64(F.get("three", 0), F.get("three", 1), F.get("three", 2)).alias("gram"),
         F.xxhash64("text").alias("same"),
     )
 
@@ -97,8 +92,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     # pass over all texts: trigrams with what follows them
     toks = flat.where("text is not null").select(_tokens(_end(F.col("text"))).alias("t"))
     # one explode serves the trigrams and the words
-    grams = toks.select(F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: _is_word(F.get(F.col("t"), i))), lambda i: F.struct(
-        F.xxhash64(_word_before(i, 2), _word_before(i, 1), F.get(F.col("t"), i)).alias("gram"), F.get(F.col("t"), i).alias("word"), _at(F.col("t"), i + 1).alias("next")))).alias("g")).select("g.*")
+    # words without the signs between them, each with the sign that follows it; then three aligned copies side by side
+    marked = toks.select(F.filter(F.zip_with("t", F.slice(F.concat("t", F.array(F.lit(""))), 2, 2**30), lambda w, x: F.struct(w.alias("word"), x.alias("next"))), lambda s: _is_word(s["word"])).alias("w"))
+    before = lambda k: F.concat(F.array(*[F.lit("")] * k), F.col("w.word"))
+    lined = marked.select(F.explode(F.arrays_zip(F.col("w.word").alias("word"), F.col("w.next").alias("next"), F.slice(before(1), F.lit(1), F.size("w")).alias("b1"), F.slice(before(2), F.lit(1), F.size("w")).alias("b2"))).alias("g"))
+    grams = lined.select(F.xxhash64("g.b2", "g.b1", "g.word").alias("gram"), F.col("g.word").alias("word"), F.col("g.next").alias("next"))
     counted = cut(grams.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break"), F.count(F.when(F.col("next") == "", 1)).alias("n_last")))
     by_gram = counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")])
     # the trie: a node for each prefix of a known word; only nodes that some text ends in are kept
@@ -130,12 +128,6 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("evidence").isNotNull().alias("is_cut"), "evidence")
 
 
-def _word_before(i: Column, k: int) -> Column:
-    """The k-th word before token i, past the stop signs right before it, "" at the start."""
-    words = F.filter(F.slice(F.col("t"), F.greatest(i - 5, F.lit(0)) + 1, F.least(i, F.lit(6 - 1))), _is_word)
-    return _at(words, F.size(words) - k)
-
-
 def _formula() -> Column:
     return (F.col("mark") == "") & (F.coalesce("n_break", F.lit(0)) >= FORMULA) & (F.coalesce("n_break", F.lit(0)) >= FORMULA_SHARE * F.coalesce("n", F.lit(1)))
 
