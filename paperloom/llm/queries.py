@@ -11,7 +11,7 @@ from paperloom.common import table
 from paperloom.llm import consensus as C
 from paperloom.llm.encode import encode
 from paperloom.llm.mixing import p8_mix, p8_shares
-from paperloom.llm import scan_noise, truncation
+from paperloom.llm import personal, scan_noise, truncation
 from paperloom.llm.survivorship import field_value_survivors, survivor_rows
 
 SURVIVING = ("raw_value", "evidence", "correction_date")
@@ -70,6 +70,20 @@ def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.agreement(C.latest_answers(table(spark, sf_dir, "import_corrections")).where(F.col("label") != "unsure"))
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    values = table(spark, sf_dir, "field_values")
+    texts = personal.texts_of(values, table(spark, sf_dir, "page_analyses"))
+    return texts, personal.find_personal(texts, personal.gazetteer(values))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(spark, sf_dir)[1].select("origin", "record_id", "kind", "start_pos").distinct()
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(*_mentions(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -92,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_consensus": p3_consensus,
         "p3_reviewers": p3_reviewers,
         "p3_agreement": p3_agreement,
+        "p4_found": p4_found,
+        "p4_text": p4_text,
         "p7_ids": p7_ids,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
