@@ -50,7 +50,7 @@ def parse_day(c: Column) -> Column:
     year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
 
     def ymd(y: Column, m: Column, day: Column) -> Column:
-        return F.concat_ws("-", year(y), F.lpad(m, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+        return F.concat(year(y), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
 
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
     num = lambda pattern, k: fix_digits(part(pattern, k))
