@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from paperloom.functions import keys as K
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 #: Spans on which the classifier is trained, at most; all spans are classified.
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Hashed features beside the votes; steps and rate of the training.
 BUCKETS, STEPS, RATE = 1 << 11, 300, 0.5
 
@@ -42,6 +43,11 @@ _ADDRESS = re.compile(
     rf"(?:,\s+(?:apt\.?|unit|suite|ste\.?|flat|#|no\.?)\s*#?\w{{1,5}})?,\s+(?:{_WORD}\s+){{0,2}}{_WORD},\s+[A-Z]{{2}}\s+{_D}{{5}}(?:-\d{{4}})?(?!\w)", re.I)
 _NAME = re.compile(
     rf"(?<![\w@.&\-])(?:(?:{_TITLE}\.?\s+)?(?:(?P<l1>{_T}),\s+(?P<f1>{_T})(?:\s+[A-Z]\.?(?![\w.]))?|(?P<f2>{_T})\s+(?:[A-Z]\.?\s+)?(?P<l2>{_T})|[A-Z]\.\s+(?P<l3>{_T}))|{_TITLE}\.?\s+(?P<l4>{_T}))(?![\w@])")
+#: Cheap signs of what the patterns need, so that they run only where they may match.
+_ZIP = re.compile(rf",\s+[A-Za-z]{{2}}\s+{_D}{{5}}")
+_CAPS = re.compile(r"(?<!\w)[A-Z][\w@+'’]+(?:[-‐­¬]\n\w+)?")
+_DIGITS, _SPACE, _OBSCURED = re.compile(r"[0-9]"), re.compile(r"\s"), re.compile(r"[(\[{]\s?at\s?[)\]}]", re.I)
+_TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Hon MR MRS MS DR".split())
 _START = re.compile(rf"^{_TITLE}\.?\s+")
 _FOLD = str.maketrans({"1": "l", "0": "o", "5": "s", "@": "a", "+": "t", "é": "e", "6": "b", "9": "g"})
 
@@ -63,6 +69,7 @@ _AFTER = {
 _AGAINST = re.compile(r"(?:loan n\S*|\bln-|account|reference|file(?: ref\S*)?|nmls|ref\.?|form|section|doctrack|order|invoice)\W*$")
 
 
+@lru_cache(maxsize=100_000)
 def _fold(s: str) -> str:
     return re.sub(r"[-‐­¬]\n", "", s).translate(_FOLD).lower()
 
@@ -101,43 +108,70 @@ def propose(text: str, first: set[str], last: set[str]) -> list[tuple[str, int,
         out.append((kind, a, b, votes, [zlib.crc32(w.encode()) % BUCKETS for w in words]))
 
     sign = lambda yes, no=False: "+" if yes else "-" if no else "0"
-    for m in _EMAIL.finditer(text):
+    digits = len(_DIGITS.findall(text)) >= 9
+    for m in _EMAIL.finditer(text) if "@" in text or "at" in text and _OBSCURED.search(text) else ():
         s = m[0]
         add("EMAIL", *m.span(), sign("@" in s, False) + sign(re.search(r"\.(?:com|org|net|edu|gov|test|example|invalid|info|io|[a-z]{2})$", s, re.I)) + sign(len(s) >= 8, True))
-    for m in _ADDRESS.finditer(text):
+    for m in _addresses(text) if digits or _ZIP.search(text) else ():
         if free(*m.span()):
             s = m[0].translate(_FOLD).lower()
             words = re.findall(r"[a-z&]+", s)
             add("ADDRESS", *m.span(), sign(any(w in STREETS for w in words) or "box" in words, True) + sign(re.search(r"[A-Z]{2}\s+\d{5}", m[0])) + sign(m[0][:1].isdigit() or "box" in words or words[:1] in (["flat"], ["unit"], ["apt"])))
-    for m in _PHONE.finditer(text):
+    for m in _PHONE.finditer(text) if digits else ():
         if free(*m.span()) and sum(c.isdigit() for c in m[0]) >= 9:
-            digits = re.sub(r"\D", "", re.split(r"e?x", m[0])[0])
-            add("PHONE", *m.span(), sign(len(digits) in (10, 11)) + sign(re.search(r"[().+\-\s]", m[0])) + "0")
-    for m in _ID.finditer(text):
+            n = len(re.sub(r"\D", "", re.split(r"e?x", m[0])[0]))
+            add("PHONE", *m.span(), sign(n in (10, 11)) + sign(re.search(r"[().+\-\s]", m[0])) + "0")
+    for m in _ID.finditer(text) if digits or len(_DIGITS.findall(text)) >= 6 else ():
         if free(*m.span()) and sum(c.isdigit() for c in m[0]) >= 6:
             s = m[0]
             add("ID", *m.span(), sign(re.fullmatch(r"\D?\d{3}[-\s]\n?\d{2}[-\s]\n?\d{4}", s)) + sign(re.match(r"[A-Z]", s)) + sign(False, re.fullmatch(r"\d{9}", s) and not _BEFORE["ID"].search(re.sub(r"\s+", " ", text[max(0, m.start() - 60) : m.start()]).lower())))
-    at = 0
-    while m := _NAME.search(text, at):
-        a, b = m.span()
-        f, la = m["f1"] or m["f2"], m["l1"] or m["l2"] or m["l3"] or m["l4"]
-        known_f, known_l = bool(f) and _fold(f) in first, bool(la) and _fold(la) in last
-        t = _START.match(m[0])
-        a += t.end() if t else 0
-        if t and m["f2"] and not known_l and _fold(f) in last:  # a title and one name; the next word is another sentence's
-            b, la, f, known_f, known_l = m.end("f2"), f, None, False, True
-        before = re.sub(r"\s+", " ", text[max(0, a - 60) : a]).translate(_FOLD).lower()
-        firm = any(w in FIRMS for w in re.findall(r"[a-z&]+", _fold(text[a : b + 14])))
-        street = bool(re.search(r"\d[a-z]?\s+(?:east|upper|north|n\.|west|south|lower)?\s*$", before)) or _fold(la or "") in STREETS
-        # a pair of capitalized words of which neither is known may hide a name that starts at its second
-        if (known_f or known_l or (t and not firm)) and free(a, b) and not (known_l and not known_f and f and not m["l1"] and not _plain(m[0])):
-            add("NAME", a, b, sign(known_f, bool(f) and not known_f and not known_l) + sign(known_l, not known_l and not known_f and not t) + sign(t is not None) + sign(False, firm) + sign(False, street))
-            at = b
-        elif known_l and not known_f and f and free(a, b):
-            add("NAME", a, b, "0" + sign(True) + "0" + sign(False, firm) + sign(False, street))
-            at = b
-        else:
-            at = m.start() + max(1, len(re.match(r"\w+", text[m.start() :])[0]) if re.match(r"\w+", text[m.start() :]) else 1)
+    for at, end in _name_regions(text, first, last):
+        while m := _NAME.search(text, at, end):
+            a, b = m.span()
+            f, la = m["f1"] or m["f2"], m["l1"] or m["l2"] or m["l3"] or m["l4"]
+            known_f, known_l = bool(f) and _fold(f) in first, bool(la) and _fold(la) in last
+            t = _START.match(m[0])
+            a += t.end() if t else 0
+            if t and m["f2"] and not known_l and _fold(f) in last:  # a title and one name; the next word is another sentence's
+                b, la, f, known_f, known_l = m.end("f2"), f, None, False, True
+            before = re.sub(r"\s+", " ", text[max(0, a - 60) : a]).translate(_FOLD).lower()
+            firm = any(w in FIRMS for w in re.findall(r"[a-z&]+", _fold(text[a : b + 14])))
+            street = bool(re.search(r"\d[a-z]?\s+(?:east|upper|north|n\.|west|south|lower)?\s*$", before)) or _fold(la or "") in STREETS
+            # a pair of capitalized words of which neither is known may hide a name that starts at its second
+            if (known_f or known_l or (t and not firm)) and free(a, b) and not (known_l and not known_f and f and not m["l1"] and not _plain(m[0])):
+                add("NAME", a, b, sign(known_f, bool(f) and not known_f and not known_l) + sign(known_l, not known_l and not known_f and not t) + sign(t is not None) + sign(False, firm) + sign(False, street))
+                at = b
+            elif known_l and not known_f and f and free(a, b):
+                add("NAME", a, b, "0" + sign(True) + "0" + sign(False, firm) + sign(False, street))
+                at = b
+            else:
+                at = m.start() + max(1, len(re.match(r"\w+", text[m.start() :])[0]) if re.match(r"\w+", text[m.start() :]) else 1)
+    return out
+
+
+def _addresses(text: str) -> Iterator[re.Match]:
+    """Addresses, looked for in front of what looks like a state and postal code."""
+    done = 0
+    for z in _ZIP.finditer(text):
+        m = _ADDRESS.search(text, max(done, z.start() - 160)) if z.end() > done else None
+        if m:
+            done = m.end()
+            yield m
+
+
+def _name_regions(text: str, first: set[str], last: set[str]) -> list[tuple[int, int]]:
+    """Stretches around titles and words of the gazetteer, which every proposed name has."""
+    out: list[tuple[int, int]] = []
+    for m in _CAPS.finditer(text):
+        w = m[0]
+        if w in _TITLES or (f := _fold(w)) in last or f in first:
+            a, b = max(0, m.start() - 60), m.end() + 60
+            space = _SPACE.search(text, b)
+            b = space.start() if space else len(text)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
     return out
 
 
