@@ -59,7 +59,7 @@ def fit(answers: DataFrame, items: DataFrame, labels: Sequence[str], rounds: int
     size = len(labels)
     code = reduce(lambda c, i: c.when(F.col("label") == labels[i], i), range(size), F.when(F.lit(False), 0))
     given = cut(answers.select("item", "annotator", code.alias("l")).where("l is not null and item is not null and annotator is not null"))
-    # majority vote with one added vote for each label starts the posteriors
+    # majority vote with half a vote added for each label starts the posteriors
     votes = given.groupBy("item").agg(*[F.count(F.when(F.col("l") == k, 1)).alias(f"v{k}") for k in range(size)])
     total = reduce(add, [F.col(f"v{k}") for k in range(size)]) + 0.5 * size
     q = votes.select("item", *[((F.col(f"v{k}") + 0.5) / total).alias(f"q{k}") for k in range(size)])
