@@ -18,10 +18,13 @@ def scores(pages: DataFrame, signals: Mapping[str, Mapping[str, bool]] = M.TYPE_
     their own and only matched signals are shuffled.
     """
     longest = max(len(s) for ss in signals.values() for s in ss)
-    tails = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.expr(f"right(text, {longest})").alias("tail")).dropDuplicates(["doc_id", "page"])
-    d = pages.join(tails, ["doc_id", "page"], "left").withColumn("low", F.lower(F.concat_ws(" ", "tail", "text")))
-    table = [F.when(F.col("low").contains(s), F.struct(F.lit(i).alias("type_ord"), F.lit(t).alias("doc_type"), F.lit(s).alias("signal"), F.lit(3 if x else 1).alias("points"))) for i, (t, ss) in enumerate(signals.items()) for s, x in ss.items()]
-    hits = d.select("doc_id", F.explode(F.filter(F.array(*table), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*").distinct()
+    table = lambda low: F.array(*[F.when(low.contains(s), F.struct(F.lit(i).alias("type_ord"), F.lit(t).alias("doc_type"), F.lit(s).alias("signal"), F.lit(3 if x else 1).alias("points"))) for i, (t, ss) in enumerate(signals.items()) for s, x in ss.items()])
+    found = lambda d: d.select("doc_id", F.explode(F.filter(table(F.lower("text")), lambda h: h.isNotNull())).alias("h"))
+    # signals over a page break: only the ends of the texts meet, the texts themselves aren't shuffled
+    ends = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.expr(f"right(text, {longest})").alias("tail")).dropDuplicates(["doc_id", "page"])
+    heads = pages.select("doc_id", "page", F.substring("text", 1, longest).alias("head"))
+    breaks = heads.join(ends, ["doc_id", "page"]).select("doc_id", F.concat_ws(" ", "tail", "head").alias("text"))
+    hits = found(pages).unionByName(found(breaks)).select("doc_id", "h.*").distinct()
     return hits.groupBy("doc_id", "type_ord", "doc_type").agg(F.sum("points").alias("score"))
 
 
