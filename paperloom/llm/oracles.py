@@ -36,6 +36,14 @@ w AS (
 """
 
 ORACLES = {
+    "p3_agreement": r"""
+WITH g AS (SELECT task_id, trim(reviewer) AS reviewer, lower(regexp_replace(reviewer_verdict, '^\s+|\s+$', '', 'g')) AS label, reviewed_at, review_id FROM import_corrections),
+l AS (SELECT * FROM g WHERE label IN ('correct', 'wrong', 'unsure') AND task_id IS NOT NULL AND reviewer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_id, reviewer ORDER BY reviewed_at DESC NULLS LAST, review_id DESC) = 1),
+p AS (SELECT task_id, label, count(*) AS n FROM l WHERE label <> 'unsure' GROUP BY 1, 2),
+i AS (SELECT task_id, sum(n) AS m, sum(n * n) AS ss FROM p GROUP BY 1 HAVING sum(n) > 1),
+o AS (SELECT count(*) AS n_items, sum(m) AS n_values, sum((m * m - ss) / (m - 1)) AS d FROM i),
+e AS (SELECT sum(n_c * n_c) AS s FROM (SELECT label, CAST(sum(n) AS DOUBLE) AS n_c FROM p WHERE task_id IN (SELECT task_id FROM i) GROUP BY 1))
+SELECT n_items, CAST(n_values AS BIGINT) AS n_values, d / n_values AS observed, (n_values * n_values - s) / (n_values * (n_values - 1)) AS expected, 1 - (d / n_values) / ((n_values * n_values - s) / (n_values * (n_values - 1))) AS alpha FROM o, e""",
     "p1_found": _P1 + "SELECT d AS document_id, f AS field, attribute, fv_id FROM w",
     "p1_survivors": _P1
     + """SELECT g.d AS document_id, g.f AS field, g.n AS n_records,
