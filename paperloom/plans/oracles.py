@@ -209,6 +209,27 @@ SELECT confidence, count(*) AS n, count(*) FILTER (verdict = 'wrong') AS n_wrong
     "document_sources": "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2",
 }
 
+_LAB, _AMT = ("label", "Label", "description", "Description", "item", "Item"), ("amount", "Amount", "value", "Value", "cost", "Cost")
+_FIRST = lambda ks: "coalesce(" + ", ".join(f"nullif({_strip(f'(e->>{chr(39)}{k}{chr(39)})')}, '')" for k in ks) + ")"
+_MADE |= {
+    "header_tables": f"""WITH {_PAGES}, x AS (SELECT page_id, page, regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+?) {{3,}}(\$[0-9,.]+)$') AS l FROM pg),
+u AS (SELECT page_id, page, unnest(range(len(l))) AS row_ord, l FROM x)
+SELECT page_id, 'Parsed Table 1 (p' || coalesce(page, 0) || ')' AS name, CAST(row_ord AS INT) AS row_ord, regexp_extract(l[row_ord + 1], '^(.*?) {{3,}}', 1) AS item, regexp_extract(l[row_ord + 1], ' {{3,}}(\\$.*)$', 1) AS amount FROM u""",
+    "checked_corrections": f"""WITH c AS (SELECT review_id AS id, {_FIELD} AS field, reviewer_corrected_value AS value, reviewed_at AS moment FROM import_corrections WHERE {_WRONG} AND reviewed_at IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY field, value, time_bucket(INTERVAL 7 DAY, moment, TIMESTAMP '1970-01-01') ORDER BY id) AS k FROM c)
+SELECT id, CASE WHEN coalesce(field, '') = '' THEN 'missing field' WHEN coalesce(value, '') = '' THEN 'missing value' WHEN field IN {_in(M.MONEY_FIELDS)} AND (NOT starts_with(value, '$') OR {_money("nullif(value, '')")} IS NULL) THEN 'bad amount' WHEN k > 1 THEN 'repeat' END AS problem FROM f""",
+    "cross_validated": f"""WITH {_RESOLVED}, j AS (SELECT result_id, try_cast(regexp_extract(result_json, '(?s)\\{{.*\\}}') AS JSON) AS o FROM extraction_results), r AS (SELECT result_id, coalesce(o->'$.result', o) AS o FROM j WHERE json_type(o) = 'OBJECT'),
+t AS (SELECT result_id, lower({_strip("(o->>'$.document_id')")}) AS doc_id, CASE WHEN json_type(o->'$.tables') = 'VARCHAR' THEN try_cast(o->>'$.tables' AS JSON) ELSE o->'$.tables' END AS v FROM r),
+tl AS (SELECT result_id, doc_id, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS l FROM t),
+ti AS (SELECT result_id, doc_id, i - 1 AS a, l[i]->'$.rows' AS v FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM tl)),
+rl AS (SELECT result_id, doc_id, a, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS l FROM ti),
+ri AS (SELECT result_id, doc_id, '$/tables[' || a || ']/rows[' || (i - 1) || ']' AS row, l[i] AS e FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM rl) WHERE json_type(l[i]) <> 'NULL'),
+lb(label, f) AS (VALUES {_LABELS}),
+c AS (SELECT ri.result_id, ri.row, ri.doc_id, lb.f AS field, {_FIRST(_AMT)} AS amount FROM ri LEFT JOIN lb ON lb.label = lower({_strip(_FIRST(_LAB))})),
+d AS (SELECT c.result_id, c.row, c.doc_id, c.field, {_CELL('amount')} AS cell_value, CASE WHEN res.doc_id IS NOT NULL THEN {_CELL('res.raw_value')} END AS field_value FROM c LEFT JOIN res ON res.doc_id = c.doc_id AND res.field = c.field)
+SELECT *, coalesce(abs(cell_value - field_value) > {M.CELL_TOLERANCE}, false) AS differs FROM d""",
+}
+
 ORACLES = _MADE | {
     "p5_found": r"""
 WITH j AS (
