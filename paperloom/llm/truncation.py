@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.common import broadcast_if_small, cut
+from paperloom.common import broadcast_if_small, cut, join_dictionary
 
 #: A word is known from this many occurrences; a formula from this many breaks after it.
 KNOWN, FORMULA = 3, 5
@@ -97,17 +97,18 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     before = lambda k: F.concat(F.array(*[F.lit("")] * k), F.col("w.word"))
     lined = marked.select(F.explode(F.arrays_zip(F.col("w.word").alias("word"), F.col("w.next").alias("next"), F.slice(before(1), F.lit(1), F.size("w")).alias("b1"), F.slice(before(2), F.lit(1), F.size("w")).alias("b2"))).alias("g"))
     grams = lined.select(F.xxhash64("g.b2", "g.b1", "g.word").alias("gram"), F.col("g.word").alias("word"), F.col("g.next").alias("next"))
-    counted = cut(grams.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break"), F.count(F.when(F.col("next") == "", 1)).alias("n_last")))
-    by_gram = counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")])
+    counted = cut(grams.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break")))
+    by_gram = cut(counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")]))
     # the trie: a node for each prefix of a known word; only nodes that some text ends in are kept
     words = counted.groupBy("word").agg(F.sum("n").alias("n"))
     last = ends.where(F.col("shape").isin("open", "broken")).groupBy("last").agg(F.count(F.lit(1)).alias("n_ends"))
     known = words.join(last.withColumnRenamed("last", "word"), "word", "left").where(F.col("n") - F.coalesce("n_ends", F.lit(0)) >= KNOWN).select("word", "n")
     nodes = known.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("prefix"), "n")
     trie = nodes.join(last.select(F.col("last").alias("prefix")), "prefix", "left_semi").groupBy("prefix").agg(F.sum("n").alias("n_below"))
-    is_prefix = last.join(trie.withColumnRenamed("prefix", "last"), "last").join(known.select(F.col("word").alias("last")), "last", "left_anti").select("last", F.lit(True).alias("prefix"))
+    is_prefix = cut(last.join(trie.withColumnRenamed("prefix", "last"), "last").join(known.select(F.col("word").alias("last")), "last", "left_anti").select("last", F.lit(True).alias("prefix")))
     limits = field_limits(ends, by_gram)
-    d = ends.join(by_gram, "gram", "left").join(is_prefix, "last", "left")
+    # a formula may end a third of all texts: its trigram must not be one task's
+    d = join_dictionary(join_dictionary(ends, by_gram, ["gram"]), is_prefix, ["last"])
     for kind in ("chars", "bytes"):
         own = limits.where(F.col("kind") == kind).select(F.col("source").alias(f"s_{kind}"), F.col("size").alias(f"l_{kind}"))
         d = d.join(broadcast_if_small(own), F.col("source").eqNullSafe(F.col(f"s_{kind}")) & (F.col(f"base_{kind}") == F.col(f"l_{kind}")), "left")
@@ -134,7 +135,7 @@ def _formula() -> Column:
 
 def field_limits(ends: DataFrame, by_gram: DataFrame) -> DataFrame:
     """source, kind (chars, bytes), size: lengths where a source's texts pile up, most of them unfinished."""
-    d = ends.join(by_gram, "gram", "left").withColumn("unfinished", ((F.col("shape") == "open") & ~_formula()) | (F.col("shape") == "marked") | (F.col("mark") != ""))
+    d = join_dictionary(ends, by_gram, ["gram"]).withColumn("unfinished", ((F.col("shape") == "open") & ~_formula()) | (F.col("shape") == "marked") | (F.col("mark") != ""))
     sizes = d.select("source", "unfinished", F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("base_chars").alias("size")), F.struct(F.lit("bytes").alias("kind"), F.col("base_bytes").alias("size")))).alias("x")).select("source", "unfinished", "x.*")
     per = sizes.groupBy("source", "kind", "size").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("unfinished"), 1)).alias("u"))
     per = cut(per)
