@@ -212,7 +212,7 @@ SELECT confidence, count(*) AS n, count(*) FILTER (verdict = 'wrong') AS n_wrong
 _LAB, _AMT = ("label", "Label", "description", "Description", "item", "Item"), ("amount", "Amount", "value", "Value", "cost", "Cost")
 _FIRST = lambda ks: "coalesce(" + ", ".join(f"nullif({_strip(f'(e->>{chr(39)}{k}{chr(39)})')}, '')" for k in ks) + ")"
 _MADE |= {
-    "header_tables": f"""WITH {_PAGES}, x AS (SELECT page_id, page, regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+?) {{3,}}(\$[0-9,.]+)$') AS l FROM pg),
+    "header_tables": f"""WITH {_PAGES}, x AS (SELECT page_id, page, regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+?) {{3,}}(\\$[0-9,.]+)$') AS l FROM pg),
 u AS (SELECT page_id, page, unnest(range(len(l))) AS row_ord, l FROM x)
 SELECT page_id, 'Parsed Table 1 (p' || coalesce(page, 0) || ')' AS name, CAST(row_ord AS INT) AS row_ord, regexp_extract(l[row_ord + 1], '^(.*?) {{3,}}', 1) AS item, regexp_extract(l[row_ord + 1], ' {{3,}}(\\$.*)$', 1) AS amount FROM u""",
     "checked_corrections": f"""WITH c AS (SELECT review_id AS id, {_FIELD} AS field, reviewer_corrected_value AS value, reviewed_at AS moment FROM import_corrections WHERE {_WRONG} AND reviewed_at IS NOT NULL),
