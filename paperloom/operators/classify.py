@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,11 @@ def scores(pages: DataFrame, signals: Mapping[str, Mapping[str, bool]] = M.TYPE_
     their own and only matched signals are shuffled.
     """
     longest = max(len(s) for ss in signals.values() for s in ss)
-    table = lambda low: F.array(*[F.when(low.contains(s), F.struct(F.lit(i).alias("type_ord"), F.lit(t).alias("doc_type"), F.lit(s).alias("signal"), F.lit(3 if x else 1).alias("points"))) for i, (t, ss) in enumerate(signals.items()) for s, x in ss.items()])
-    found = lambda d: d.select("doc_id", F.explode(F.filter(table(F.lower("text")), lambda h: h.isNotNull())).alias("h"))
+    rows = [{"type_ord": i, "doc_type": t, "signal": s, "points": 3 if x else 1} for i, (t, ss) in enumerate(signals.items()) for s, x in ss.items()]
+    # one constant, which the optimizer folds, instead of an expression for each signal
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<type_ord:int,doc_type:string,signal:string,points:int>>")
+    low = lambda d: d.select("doc_id", F.lower("text").alias("low"))
+    found = lambda d: low(d).select("doc_id", F.explode(F.filter(table, lambda h: F.contains(F.col("low"), h["signal"]))).alias("h"))
     # signals over a page break: only the ends of the texts meet, the texts themselves aren't shuffled
     ends = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.expr(f"right(text, {longest})").alias("tail")).dropDuplicates(["doc_id", "page"])
     heads = pages.select("doc_id", "page", F.substring("text", 1, longest).alias("head"))
