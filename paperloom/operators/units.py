@@ -25,7 +25,7 @@ CHEAP_PAIRS = {frozenset(p) for p in ("0o", "1l", "1i", "il", "5s", "8b", "ec",
 DROP_COST = {" ": 0.1, ".": 0.05, "-": 0.1, "s": 0.4, "e": 0.7, "a": 0.7, "i": 0.7, "o": 0.7, "u": 0.7}
 
 #: A digit, or a letter misread for one: further digits, a separator or the end follow, or a unit straight after O.
-_DIGIT = r"(?:[0-9]|[OlISB|](?=[OlISB|]*(?:[0-9.,\s)%$¢]|$))|O(?=[a-z]))"
+_DIGIT = r"(?:[0-9]|[OlISB|](?=[OlISB|]*(?:[0-9.,\s)%$¢]|$))|O(?=[a-z]|[KMY](?![A-Za-z])))"
 _NUMBER = rf"{_DIGIT}+(?:,{_DIGIT}{{3}})+(?:\.{_DIGIT}+)?|{_DIGIT}{{1,3}}(?:[ \x{{A0}}\x{{202F}}]{_DIGIT}{{3}})+(?![0-9])(?:\.{_DIGIT}+)?|{_DIGIT}+(?:\.{_DIGIT}+)?|\.{_DIGIT}+"
 _ROUGH = r"(?i)^(?:" + "|".join(x.replace(".", r"\.") for x in ROUGH) + r")\s*"
 _MIXED = rf"^({_DIGIT}+)[ \-]+({_DIGIT}+)\s*/\s*({_DIGIT}+)(?![0-9/])"

@@ -9,7 +9,7 @@ from paperloom.operators import units as U
     ("text", "x", "unit"),
     [
         ("approx. US$ 1,234.5 thousand", "1234.5", "thousand"), ("5 3/8%", "5.375", "%"), ("1/2 acre", "0.5", "acre"), ("Thirty (30) yrs", "30", "yrs"), ("thirty years", "30", "years"), ("twenty-five years", "25", "years"),
-        ("71 800 000 cents", "71800000", "cents"), ("$526 (000s)", "526", "000s"), ("$526", "526", ""), ("USD 500", "500", "usd"), ("802,00O US dollars", "802000", "us dollars"), ("1048SqFt", "1048", "sqft"), ("30Oyr", "300", "yr"),
+        ("71 800 000 cents", "71800000", "cents"), ("$526 (000s)", "526", "000s"), ("$526", "526", ""), ("USD 500", "500", "usd"), ("802,00O US dollars", "802000", "us dollars"), ("1048SqFt", "1048", "sqft"), ("30Oyr", "300", "yr"), ("3OY", "30", "y"), ("24OK", "240", "k"),
         ("25-year fixed", "25", "year fixed"), ("138.3 yd²", "138.3", "yd2"), ("0.0725 as a fraction of one", "0.0725", "as a fraction of one"), ("Other", None, None), (None, None, None), ("4/0 ac", None, "ac"), ("~3 358 sq. ft.", "3358", "sq ft"),
     ],
 )
