@@ -34,7 +34,9 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Hon|MR|MRS|MS|DR)"
 #: Words of streets and of firms.
 STREETS = "street st avenue ave road rd lane ln drive dr court ct way boulevard blvd place pl terrace trail circle parkway".split()
 FIRMS = "llc inc co corp bank finance lending mortgage loans loan credit union group funding title escrow savings home &".split()
-_EMAIL = re.compile(r"(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+]|-\n?)*(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?)[A-Za-z0-9](?:[A-Za-z0-9]|-\n?|\.(?=[A-Za-z0-9]))*\.[A-Za-z]{2,}", re.I)
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9]|-\n?(?=[A-Za-z0-9]))*"
+#: An address may write its at and dots as words in brackets.
+_EMAIL = re.compile(rf"(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+]|-\n?)*(?:@|\s?[(\[{{]\s?at\s?[)\]}}]\s?){_LABEL}(?:(?:\.(?=[A-Za-z0-9])|\s?[(\[{{]\s?dot\s?[)\]}}]\s?){_LABEL})+(?<=[A-Za-z]{{2}})", re.I)
 _PHONE = re.compile(rf"(?<![\w$.,/\-])(?:\+?1[\s.\-]{{1,2}}|\+1)?(?:\({_D}{{3}}\)\s{{0,2}}|{_D}{{3}}[\s.\-]{{0,2}}){_D}{{3}}[\s.\-]{{0,2}}{_D}{{4}}(?![\w\-/])(?:\s?(?:ext\.?|x)\s?\d+)?")
 _ID = re.compile(rf"(?<![\w$.,/\-])(?:{_D}{{3}}-\n?{_D}{{2}}-\n?{_D}{{4}}|{_D}{{3}}\s{_D}{{2}}\s{_D}{{4}}|[0-9]{{9}}|[0-9]{{2}}-[0-9]{{7}}|[A-Z]{_D}{{3}}-\n?{_D}{{4}}-\n?{_D}{{2}}|[A-Z]{{2}}{_D}{{7}})(?![\w\-/])")
 _WORD = r"[A-Za-z#][\w.@+é'’\-]*"
@@ -111,7 +113,7 @@ def propose(text: str, first: set[str], last: set[str]) -> list[tuple[str, int,
     digits = len(_DIGITS.findall(text)) >= 9
     for m in _EMAIL.finditer(text) if "@" in text or "at" in text and _OBSCURED.search(text) else ():
         s = m[0]
-        add("EMAIL", *m.span(), sign("@" in s, False) + sign(re.search(r"\.(?:com|org|net|edu|gov|test|example|invalid|info|io|[a-z]{2})$", s, re.I)) + sign(len(s) >= 8, True))
+        add("EMAIL", *m.span(), sign("@" in s, False) + sign(re.search(r"(?:\.|dot\W{1,3})(?:com|org|net|edu|gov|test|example|invalid|info|io|[a-z]{2})$", s, re.I)) + sign(len(s) >= 8, True))
     for m in _addresses(text) if digits or _ZIP.search(text) else ():
         if free(*m.span()):
             s = m[0].translate(_FOLD).lower()

@@ -11,6 +11,7 @@ def test_spans():
     assert found("Sent by Mr. Subriamern <a.b+home@mailbox.example> with") == {("NAME", "Subriamern"), ("EMAIL", "a.b+home@mailbox.example")}
     assert found("call +1 (555) 555-0182 or 1-555-555-0177 or (555)555-0167 ext. 94 or 5555550164.") >= {("PHONE", "+1 (555) 555-0182"), ("PHONE", "1-555-555-0177"), ("PHONE", "(555)555-0167 ext. 94"), ("PHONE", "5555550164")}
     assert found("write to fat_bro (at)\ninbox.test. The") == {("EMAIL", "fat_bro (at)\ninbox.test")}
+    assert found("write\nto siatus.m.rakiv+home [at] post\n[dot] example [dot] org. The") == {("EMAIL", "siatus.m.rakiv+home [at] post\n[dot] example [dot] org")}
     assert ("ADDRESS", "Flat 19, 4496 East Giselul St. #41, Zougallton,\nYK 00031") in found("premises at Flat 19, 4496 East Giselul St. #41, Zougallton,\nYK 00031 were")
     assert ("ADDRESS", "P.O. Box 949, Zuloth Heights, QX 00978") in found("to P.O. Box 949, Zuloth Heights, QX 00978 until")
     assert found("SSN 666-24-7788, TIN 981001246, DL No. X406-6755-93, Passport No. XQ7018356") >= {("ID", "666-24-7788"), ("ID", "981001246"), ("ID", "X406-6755-93"), ("ID", "XQ7018356")}
