@@ -48,7 +48,7 @@ _NAME = re.compile(
 #: Cheap signs of what the patterns need, so that they run only where they may match.
 _ZIP = re.compile(rf",\s+[A-Za-z]{{2}}\s+{_D}{{5}}")
 _CAPS = re.compile(r"(?<!\w)[A-Z][\w@+'’]+(?:[-‐­¬]\n\w+)?")
-_DIGITS, _SPACE, _OBSCURED = re.compile(r"[0-9]"), re.compile(r"\s"), re.compile(r"[(\[{]\s?at\s?[)\]}]", re.I)
+_DIGITS, _SPACE, _SPACES, _OBSCURED = re.compile(r"[0-9]"), re.compile(r"\s"), re.compile(r"\s*"), re.compile(r"[(\[{]\s?at\s?[)\]}]", re.I)
 _TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Hon MR MRS MS DR".split())
 _START = re.compile(rf"^{_TITLE}\.?\s+")
 _FOLD = str.maketrans({"1": "l", "0": "o", "5": "s", "@": "a", "+": "t", "é": "e", "6": "b", "9": "g"})
@@ -136,6 +136,11 @@ def propose(text: str, first: set[str], last: set[str]) -> list[tuple[str, int,
             a += t.end() if t else 0
             if t and m["f2"] and not known_l and _fold(f) in last:  # a title and one name; the next word is another sentence's
                 b, la, f, known_f, known_l = m.end("f2"), f, None, False, True
+            if m["f2"] and f and not known_f and not t:  # "Contact Soumot, Griv": a name of known words after the first one goes first
+                other = _NAME.match(text, _SPACES.match(text, m.end("f2")).end())
+                if other and any(w and _fold(w) in known for w, known in ((other["l1"] or other["l3"] or other["l2"], last), (other["f1"] or other["f2"], first))):
+                    at = other.start()
+                    continue
             before = re.sub(r"\s+", " ", text[max(0, a - 60) : a]).translate(_FOLD).lower()
             firm = any(w in FIRMS for w in re.findall(r"[a-z&]+", _fold(text[a : b + 14])))
             street = bool(re.search(r"\d[a-z]?\s+(?:east|upper|north|n\.|west|south|lower)?\s*$", before)) or _fold(la or "") in STREETS

@@ -17,6 +17,7 @@ def test_spans():
     assert found("SSN 666-24-7788, TIN 981001246, DL No. X406-6755-93, Passport No. XQ7018356") >= {("ID", "666-24-7788"), ("ID", "981001246"), ("ID", "X406-6755-93"), ("ID", "XQ7018356")}
     assert found("Loan No. 4481-20-3388, LN-8200-A97, NMLS 975828, File Ref. 2026-0542-77, $1,234.00 on 06/13/2026") == set()
     assert found("by SOUMOT, GRIV D and Zirn\nMazarov in the presence") == {("NAME", "SOUMOT, GRIV D"), ("NAME", "Zirn\nMazarov")}
+    assert found("Contact Soumot, Griv at") == {("NAME", "Soumot, Griv")} and found("Contact G. Soumot at") == {("NAME", "G. Soumot")} and found("Contact Griv Soumot at") == {("NAME", "Griv Soumot")}
     assert found("") == set() and found("x" * 100_000) == set()
 
 
