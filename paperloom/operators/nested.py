@@ -207,24 +207,27 @@ class _Walker:
         attributes: list[tuple[str, str | None]] = []
         self.out.append((label, up[0], up[1], row, up[2], key, attributes))
         if isinstance(value, dict):
-            self.visit(label, row, key, value, "", attributes)
+            self.visit(label, row, key, value, (), attributes)
         elif isinstance(value, list):  # a list straight in a list: records below this one
-            self.children(label, label, row, key, value)
+            self.children(label, label, row, key, value, ())
         else:
             attributes.append(("value", _text(value)))
 
-    def visit(self, label: str, row: str, key: str, obj: dict, prefix: str, attributes: list[tuple[str, str | None]]) -> None:
+    def visit(self, label: str, row: str, key: str, obj: dict, path: tuple[str, ...], attributes: list[tuple[str, str | None]]) -> None:
         for name, raw in obj.items():
             value = _opened(raw)
             if name in self.layout.tables:
-                self.children(name, label, row, key, value)
+                self.children(name, label, row, key, value, path)
             elif isinstance(value, dict):
-                self.visit(label, row, key, value, f"{prefix}{name}_", attributes)
+                self.visit(label, row, key, value, (*path, name), attributes)
             else:
-                attributes.append((prefix + name, _text(value)))
+                attributes.append(("_".join((*path, name)), _text(value)))
 
-    def children(self, name: str, label: str, row: str, key: str, value: Any) -> None:
-        """Null entries are no records but keep their position; a lone value has position 0."""
+    def children(self, name: str, label: str, row: str, key: str, value: Any, path: tuple[str, ...]) -> None:
+        """Null entries are no records but keep their position; a lone value has position 0.
+
+        path: the inlined elements between the row and the entries, part of the new rows' keys.
+        """
         own = self.layout.key_attribute.get(name)
         if value is None or value == "":
             return
@@ -238,7 +241,7 @@ class _Walker:
             if x is None:
                 continue
             k = x[own] if own and isinstance(x, dict) and isinstance(x.get(own), str) else at
-            self.record(name, (label, row, "" if label == ROOT else key), f"{row}/{name}[{at}]", k, x)
+            self.record(name, (label, row, "" if label == ROOT else key), "/".join((row, *path, f"{name}[{at}]")), k, x)
 
 
 @dataclass
