@@ -42,7 +42,7 @@ def test_dates(value, text, shown, day):
     ("text", "clean"),
     [
         ("2O26", "2026"), ("$ O", "$0"), ("100|200", "1001200"), ("S123", "5123"), ("S1", "S1"), ("Z1234", "21234"), ("1B2", "182"), ("Closing Disclosure", "Closing Disdosure"),
-        ("CLOSING DISCLOSURE", "CLOSING DISCLOSURE"), ("government", "govemment"), ("application", "apphcation"), ("a\n\n\nb", "a  b"), (" a \n b", "a\nb"), (None, None), ("", ""),
+        ("CLOSING DISCLOSURE", "CLOSING DISCLOSURE"), ("government", "govemment"), ("application", "apphcation"), ("a\n\n\nb", "a  b"), (" a\n b ", "a\nb"), (" a \n b", "a  b"), (None, None), ("", ""),
     ],
 )
 def test_clean_text(value, text, clean):
