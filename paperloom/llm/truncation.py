@@ -4,7 +4,7 @@ Corpus statistics decide, all as group-bys: a vocabulary trie, kept as a table o
 nodes, tells final tokens that are unknown proper prefixes of known words; trigrams tell
 endings that the corpus leaves without a full stop as a habit (procedural formulas) from
 sentences broken in the middle; the lengths at which a source's texts pile up unfinished
-are its field limits.
+are its field limits.  Copies of a text count once in all of these.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from paperloom.common import broadcast_if_small, cut, join_dictionary
 
 #: A word is known from this many occurrences; a formula from this many breaks after it.
 KNOWN, FORMULA = 3, 5
-#: Share of a trigram's occurrences that must be followed by a break for a formula.
+#: Share of a trigram's occurrences that must be followed by a break for a formula; longer words that begin with its last one are occurrences too, as a text may be cut within them.
 FORMULA_SHARE = 0.3
 #: A trigram this frequent that ends a sentence this rarely was cut at its point.
 FREQUENT, RARELY = 20, 0.02
@@ -58,13 +58,14 @@ def endings(docs: DataFrame) -> DataFrame:
     mark = F.regexp_extract("end", rf"(?i)(\s?[\[(]\s?(?:{LOST})\s?[\])]|\s?(?:\.\.\.|…))$", 1)
     d = d.withColumn("mark", mark).withColumn("base", F.expr("left(text, length(end) - length(mark))"))
     # the last three tokens as a column of its own, so that they are made once
-    d = d.withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter(_tokens(F.expr("right(base, 400)")), _is_word)), -3, 3))
+    d = d.withColumn("tokens", _tokens(F.expr("right(base, 400)"))).withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter("tokens", _is_word)), -3, 3))
     # the tail only has the last tokens; whole texts are counted below.  A single token longer than the tail stays whole there.
     return d.select(
         "id", "source", "mark", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.length("base").alias("base_chars"), F.octet_length("base").alias("base_bytes"),
         F.expr("right(base, 40)").alias("tail"), F.get("three", 2).alias("last"),
         F.xxhash64(F.get("three", 0), F.get("three", 1), F.get("three", 2)).alias("gram"),
-        F.xxhash64("text").alias("same"),
+        F.xxhash64(F.get("three", 0), F.get("three", 1)).alias("two"), (F.get("tokens", F.size("tokens") - 1) == "§").cast("int").alias("own"),
+        F.xxhash64("text").alias("same"), F.xxhash64("end").alias("body"),
     )
 
 
@@ -84,24 +85,34 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     limits), "prefix" (the last token is an unknown proper prefix of known words), "open"
     (the sentence goes on), or null.  Null, empty and blank texts are not cut, nor are
     texts that end in a dash, an ellipsis or a bracketed interruption below the limit.
-    Repeated rows are judged alike; a null source has its own limits.  Whole texts count,
-    of any length.  An empty table gives no rows.
+    Repeated rows are judged alike, and as if there were no copies; a null source has its
+    own limits.  Whole texts count, of any length.  An empty table gives no rows.
     """
     flat = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
     ends = cut(_shape(endings(flat)))
-    # pass over all texts: trigrams with what follows them
-    toks = flat.where("text is not null").select(_tokens(_end(F.col("text"))).alias("t"))
+    single = ends.dropDuplicates(["body", "chars"])
+    # pass over all distinct texts: trigrams with what follows them
+    toks = flat.where("text is not null").select(_end(F.col("text")).alias("end")).distinct().select(_tokens(F.col("end")).alias("t"))
     # one explode serves the trigrams and the words
     # words without the signs between them, each with the sign that follows it; then three aligned copies side by side
     marked = toks.select(F.filter(F.zip_with("t", F.slice(F.concat("t", F.array(F.lit(""))), 2, 2**30), lambda w, x: F.struct(w.alias("word"), x.alias("next"))), lambda s: _is_word(s["word"])).alias("w"))
     before = lambda k: F.concat(F.array(*[F.lit("")] * k), F.col("w.word"))
     lined = marked.select(F.explode(F.arrays_zip(F.col("w.word").alias("word"), F.col("w.next").alias("next"), F.slice(before(1), F.lit(1), F.size("w")).alias("b1"), F.slice(before(2), F.lit(1), F.size("w")).alias("b2"))).alias("g"))
-    grams = lined.select(F.xxhash64("g.b2", "g.b1", "g.word").alias("gram"), F.col("g.word").alias("word"), F.col("g.next").alias("next"))
-    counted = cut(grams.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break")))
-    by_gram = cut(counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")]))
+    grams = lined.select(F.xxhash64("g.b2", "g.b1", "g.word").alias("gram"), F.xxhash64("g.b2", "g.b1").alias("two"), F.col("g.word").alias("word"), F.col("g.next").alias("next"))
+    counted = cut(grams.groupBy("gram", "two", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break")))
+    plain = counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")])
+    # longer words with the same two before them, cut to the lengths of the last words that occur there
+    open_ends = single.where((F.col("shape") == "open") & (F.col("mark") == ""))
+    sizes = open_ends.select("two", F.length("last").alias("size")).distinct().groupBy("two").agg(F.collect_list("size").alias("sizes"))
+    longer = counted.join(sizes, "two").select("n", F.explode(F.transform(F.filter("sizes", lambda k: k < F.length("word")), lambda k: F.struct(F.col("two"), F.substring("word", F.lit(1), k).alias("last")))).alias("x"))
+    longer = longer.groupBy("x.two", "x.last").agg(F.sum("n").alias("n_longer"))
+    longer = longer.join(open_ends.select("two", "last", "gram").distinct(), ["two", "last"]).select("gram", "n_longer")
+    # at how many lengths texts end in a trigram
+    lengths = open_ends.select("gram", "chars").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n_lengths"))
+    by_gram = cut(plain.join(longer, "gram", "left").join(lengths, "gram", "left"))
     # the trie: a node for each prefix of a known word; only nodes that some text ends in are kept
     words = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    last = ends.where(F.col("shape").isin("open", "broken")).groupBy("last").agg(F.count(F.lit(1)).alias("n_ends"))
+    last = single.where(F.col("shape").isin("open", "broken")).groupBy("last").agg(F.count(F.lit(1)).alias("n_ends"))
     known = words.join(last.withColumnRenamed("last", "word"), "word", "left").where(F.col("n") - F.coalesce("n_ends", F.lit(0)) >= KNOWN).select("word", "n")
     nodes = known.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("prefix"), "n")
     trie = nodes.join(last.select(F.col("last").alias("prefix")), "prefix", "left_semi").groupBy("prefix").agg(F.sum("n").alias("n_below"))
@@ -115,7 +126,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     at_limit = F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()
     verdict = (
         F.when(F.col("shape") == "marked", "mark")
-        .when(at_limit & ~_formula(), F.when(F.col("mark") != "", "mark").otherwise("limit"))
+        .when(at_limit & ~_formula(anywhere=True), F.when(F.col("mark") != "", "mark").otherwise("limit"))
         .when(F.col("shape").isin("closed", "broken"), F.lit(None))
         .when((F.col("shape") == "open") & F.coalesce("prefix", F.lit(False)) & F.col("tail").rlike(r"[\p{L}\p{M}]$"), "prefix")
         .when((F.col("shape") == "open") & ~_formula(), "open")
@@ -129,15 +140,23 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("evidence").isNotNull().alias("is_cut"), "evidence")
 
 
-def _formula() -> Column:
-    return (F.col("mark") == "") & (F.coalesce("n_break", F.lit(0)) >= FORMULA) & (F.coalesce("n_break", F.lit(0)) >= FORMULA_SHARE * F.coalesce("n", F.lit(1)))
+def _formula(anywhere: bool = False) -> Column:
+    """Whether other texts leave the last trigram without a full stop as a habit; anywhere: also as ends of texts of many other lengths."""
+    n_break = F.coalesce("n_break", F.lit(0)) - F.col("own")
+    uses = F.coalesce("n", F.lit(1)) - F.col("own") + F.coalesce("n_longer", F.lit(0))
+    habit = (F.col("mark") == "") & (n_break >= FORMULA) & (n_break >= FORMULA_SHARE * uses)
+    return habit & (F.coalesce("n_lengths", F.lit(0)) > FORMULA) if anywhere else habit
 
 
 def field_limits(ends: DataFrame, by_gram: DataFrame) -> DataFrame:
-    """source, kind (chars, bytes), size: lengths where a source's texts pile up, most of them unfinished."""
-    d = join_dictionary(ends, by_gram, ["gram"]).withColumn("unfinished", ((F.col("shape") == "open") & ~_formula()) | (F.col("shape") == "marked") | (F.col("mark") != ""))
-    sizes = d.select("source", "unfinished", F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("base_chars").alias("size")), F.struct(F.lit("bytes").alias("kind"), F.col("base_bytes").alias("size")))).alias("x")).select("source", "unfinished", "x.*")
-    per = sizes.groupBy("source", "kind", "size").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("unfinished"), 1)).alias("u"))
+    """source, kind (chars, bytes), size: lengths where a source's texts pile up, most of them unfinished.
+
+    Copies count once, and so do a length's unfinished texts that end alike: a limit cuts anywhere.
+    """
+    d = join_dictionary(ends.dropDuplicates(["source", "body", "chars"]), by_gram, ["gram"]).withColumn("unfinished", ((F.col("shape") == "open") & ~_formula(anywhere=True)) | (F.col("shape") == "marked") | (F.col("mark") != ""))
+    sizes = d.select("source", "gram", "unfinished", F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("base_chars").alias("size")), F.struct(F.lit("bytes").alias("kind"), F.col("base_bytes").alias("size")))).alias("x")).select("source", "gram", "unfinished", "x.*")
+    alike = sizes.groupBy("source", "kind", "size", "unfinished", "gram").agg(F.count(F.lit(1)).alias("n"))
+    per = alike.groupBy("source", "kind", "size").agg(F.sum(F.when(F.col("unfinished"), 1).otherwise(F.col("n"))).alias("n"), F.count(F.when(F.col("unfinished"), 1)).alias("u"))
     per = cut(per)
     # finished texts around tell how many to expect there by chance
     around = per.withColumn("near", F.explode(F.array(*[F.floor((F.col("size") + s) / 100) for s in (-50, 50)]))).groupBy("source", "kind", "near").agg(F.sum(F.col("n") - F.col("u")).alias("usual"))

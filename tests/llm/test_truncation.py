@@ -42,3 +42,34 @@ def test_tokens(value):
 
 def test_empty(spark):
     assert T.detect(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_copies_make_no_formula(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(sentence(rnd) for _ in range(rnd.randint(1, 12))) for _ in range(600)]
+    rows = [(i, "free", t) for i, t in enumerate(texts)]
+    # one text cut after a whole known word and delivered 200 times, and one that a limit cut, in 50 copies
+    rows += [(10_000 + i, "free", texts[0] + " The unheard proposal of the committee") for i in range(200)]
+    cuts = {t[:300] for t in (" ".join(sentence(rnd) for _ in range(12)) for _ in range(40)) if not t[:300].rstrip().endswith(".")}
+    rows += [(20_000 + i, "narrow", t) for i, t in enumerate(sorted(cuts))]
+    at_limit = (" ".join(sentence(rnd) for _ in range(12)))[:280].rsplit(". ", 1)[0] + ". "
+    at_limit += ("The minister " + "of the chamber record " * 20)[: 300 - len(at_limit) - 7] + " record"
+    rows += [(30_000 + i, "narrow", at_limit) for i in range(50)]
+    # a heading delivered often is no limit of its source
+    rows += [(40_000 + i, "free", "The sitting was suspended at 18.04") for i in range(50)]
+    rows += [(50_000 + i, "free", t + "\nThe sitting was suspended at 18.04") for i, t in enumerate(texts[:30])]
+    got = {r.doc_id: r.evidence for r in T.detect(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("is_cut").collect()}
+    assert {got.get(10_000 + i) for i in range(200)} == {"open"}
+    assert {got.get(20_000 + i) for i in range(len(cuts))} == {"limit"}
+    assert len(at_limit) == 300 and {got.get(30_000 + i) for i in range(50)} == {"limit"}
+    assert not [i for i in got if i >= 40_000]
+
+
+def test_word_parts_make_no_formula(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(sentence(rnd) for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    rows = [(i, "free", t + " That has been taken down.") for i, t in enumerate(texts)] + [(1000 + i, "free", t + " They take evidence.") for i, t in enumerate(texts)]
+    # "has been take" ends eight different texts, in a word that the corpus knows
+    rows += [(5000 + i, "free", t + " It has been take") for i, t in enumerate(texts[:8])]
+    got = {r.doc_id for r in T.detect(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("is_cut").collect()}
+    assert got == set(range(5000, 5008))
