@@ -2,7 +2,7 @@
 
 Lines are labelled as header, body, break, footer or page number by a hidden Markov
 model over layout features, trained here by hard expectation-maximization from
-repetition at the pages' edges.  Words broken over lines and misread words are decided by
+repetition at the pages' edges, which is counted over all pages.  Words broken over lines and misread words are decided by
 the corpus' own vocabulary: a broken word is one whose joined form the corpus knows, a
 misread one turns into a far more frequent word by undoing one optical confusion.
 """
@@ -12,8 +12,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.common import broadcast_if_small, cut
+from paperloom.common import broadcast_if_small, cut, join_dictionary
 
 #: Texts on which the line model is trained, at most; all texts are labelled.
 SAMPLE = 4_000
@@ -67,11 +67,12 @@ def _word_slot(word: str) -> int:
     return _slot("w:" + w)
 
 
-def line_features(lines: list[str], page: int | None, whole: bool = True, seen: dict[str, bool] | None = None) -> list[list[int] | None]:
-    """Hashed features of each line; None for a blank one.  A text that is not a whole page has no edges.
+#: Of a text's lines that recur, by index: whether mostly at edges (null below 5 times), whether at edges and hardly elsewhere.
+Marks = dict[int, tuple[bool | None, bool]]
 
-    seen: of lines that recur, whether mostly at edges.
-    """
+
+def line_features(lines: list[str], page: int | None, whole: bool = True, marks: Marks | None = None) -> list[list[int] | None]:
+    """Hashed features of each line; None for a blank one.  A text that is not a whole page has no edges."""
     filled = [i for i, x in enumerate(lines) if x.strip()]
     place = {i: k for k, i in enumerate(filled)}
     out: list[list[int] | None] = []
@@ -91,43 +92,55 @@ def line_features(lines: list[str], page: int | None, whole: bool = True, seen:
             f"money:{bool(re.search(r'[.,]?[0-9OlISB]{2}$', s)) and '$' in s}", f"low:{s[:1].islower()}", f"long:{len(s) > 45}", f"tokens:{min(len(s.split()), 6)}", f"before:{i == 0 or not lines[i - 1].strip()}", f"after:{i + 1 == len(lines) or not lines[i + 1].strip()}",
             f"dash:{any(x in s for x in ('—', '·', '|', '/ ', '____'))}",
         ]
-        recurs = (seen or {}).get(_skeleton(line))
+        recurs = (marks or {}).get(i, (None, False))[0]
         if recurs is not None and len(letters) >= 6:
             f += [f"recurs:{recurs}"] * 2
         out.append([*map(_slot, f), *map(_word_slot, s.lower().split()[:12])])
     return out
 
 
-def _skeleton(line: str) -> str:
-    return re.sub(r"[\s#]+", " ", re.sub(r"\d+", "#", line.lower())).strip()
+def recurring_lines(texts: DataFrame) -> DataFrame:
+    """same (hash of the text), marks of each text with lines that recur; marks: array of line_no, mostly, seed.
 
-
-def seed_labels(texts: list[tuple[list[str], int | None]]) -> tuple[list[list[int]], dict[str, bool]]:
-    """First labels, by position and by lines that recur at edges of texts and hardly elsewhere;
-    and of each line that recurs whether it is mostly at edges."""
-    edge, everywhere = Counter(), Counter()
-    spots: list[list[tuple[int, int]]] = []
-    for lines, _ in texts:
+    Lines are compared without case, digits and spacing, and counted over all whole pages.
+    mostly: of lines that occur 5 times, whether most are at edges of pages; seed: whether
+    the line is 3 times at edges and hardly elsewhere.
+    """
+    lines = texts.where("text is not null").select("whole", F.xxhash64("text").alias("same"), F.split("text", "\n").alias("ls"))
+    filled = F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(r"(?U)[^\s\x1c-\x1f]"))
+    each = lines.withColumn("ls", filled).select("whole", "same", F.size("ls").alias("size"), F.posexplode("ls").alias("k", "s"))
+    skeleton = F.regexp_replace(F.regexp_replace(F.lower("s.line"), r"(?U)[\s\d#]+", " "), "^ | $", "")
+    at_edge = (F.col("k") == 0) | (F.col("k") >= F.col("size") - 2)
+    keyed = each.select("whole", "same", "s.line_no", F.xxhash64(skeleton).alias("key"), at_edge.alias("at_edge"))
+    # copies of a text meet before the shuffle
+    spots = cut(keyed.groupBy("same", "line_no", "key").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.when(F.col("whole") & F.col("at_edge"), 1)).alias("edge")))
+    n, edge = F.col("n"), F.col("edge")
+    counts = spots.groupBy("key").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"))
+    counts = counts.select("key", F.when(n >= 5, edge > 0.5 * n).alias("mostly"), ((edge >= 3) & (edge > 0.85 * n)).alias("seed")).where("mostly is not null or seed")
+    found = join_dictionary(spots.select("same", "line_no", "key"), cut(counts), ["key"], "inner")
+    # a text's marks are as bounded as the text
+    return cut(found.groupBy("same").agg(F.collect_list(F.struct("line_no", "mostly", "seed")).alias("marks")))
+
+
+def _marks(marks: Iterable | None) -> Marks:
+    return {} if marks is None else {x["line_no"] - 1: (x["mostly"], x["seed"]) for x in marks}
+
+
+def seed_labels(texts: list[tuple[list[str], int | None, Marks]]) -> list[list[int]]:
+    """First labels, by position and by lines that recur at edges of texts and hardly elsewhere."""
+    out = []
+    for lines, page, marks in texts:
         filled = [i for i, x in enumerate(lines) if x.strip()]
         n = len(filled)
-        spots.append([(i, k if k < 1 else k - n) for k, i in enumerate(filled) if k == 0 or k >= n - 2])
-        at = {i for i, _ in spots[-1]}
-        for i in filled:
-            s = _skeleton(lines[i])
-            everywhere[s] += 1
-            edge[s] += i in at
-    out = []
-    for (lines, page), at in zip(texts, spots, strict=True):
         y = [_B if x.strip() else _K for x in lines]
-        many = sum(map(bool, (x.strip() for x in lines))) > 3
-        for i, k in at:
-            s, m = _skeleton(lines[i]), _PAGENO.match(lines[i].strip())
+        for i, k in [(i, k if k < 1 else k - n) for k, i in enumerate(filled) if k == 0 or k >= n - 2]:
+            m = _PAGENO.match(lines[i].strip())
             if m and k in (0, -1) and (page is None or _value(m[1]) == page):
                 y[i] = _P
-            elif many and edge[s] >= 3 and edge[s] > 0.85 * everywhere[s]:
+            elif n > 3 and marks.get(i, (None, False))[1]:
                 y[i] = _H if k == 0 else _F
         out.append(y)
-    return out, {s: edge[s] > 0.5 * n for s, n in everywhere.items() if n >= 5}
+    return out
 
 
 @dataclass
@@ -136,22 +149,21 @@ class LineModel:
     emit: np.ndarray
     step: np.ndarray
     start: np.ndarray
-    seen: dict[str, bool]
 
-    def labels(self, lines: list[str], page: int | None, whole: bool) -> list[int]:
-        return viterbi(line_features(lines, page, whole, self.seen), (self.emit, self.step, self.start))
+    def labels(self, lines: list[str], page: int | None, whole: bool, marks: Marks) -> list[int]:
+        return viterbi(line_features(lines, page, whole, marks), (self.emit, self.step, self.start))
 
 
-def train(texts: list[tuple[str, int | None]]) -> LineModel:
+def train(texts: list[tuple[str, int | None, Marks]]) -> LineModel:
     """The line model, by hard EM from the seeds."""
-    data = [(t.split("\n"), p) for t, p in texts]
-    labels, seen = seed_labels(data)
-    features = [line_features(lines, p, True, seen) for lines, p in data]
+    data = [(t.split("\n"), p, m) for t, p, m in texts]
+    labels = seed_labels(data)
+    features = [line_features(lines, p, True, m) for lines, p, m in data]
     model = _count(features, labels)
     for _ in range(ROUNDS - 1):
         labels = [viterbi(f, model) for f in features]
         model = _count(features, labels)
-    return LineModel(*model, seen)
+    return LineModel(*model)
 
 
 def _count(features: list, labels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,30 +211,34 @@ def viterbi(features: list[list[int] | None], model: tuple[np.ndarray, np.ndarra
     return y[::-1]
 
 
-def fit_lines(texts: DataFrame) -> LineModel:
-    """The line model, trained on the SAMPLE whole pages of least hash.  Expects record_id, page, whole, text."""
-    rows = texts.where("whole and text is not null and length(text) > 0").select("page", "text", F.xxhash64("record_id", "text").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    return train([(r.text, r.page) for r in rows])
+def fit_lines(texts: DataFrame, marked: DataFrame) -> LineModel:
+    """The line model, its emissions and transitions trained on the SAMPLE whole pages of least hash.  Expects record_id, page, whole, text."""
+    same = F.xxhash64("text").alias("same")
+    rows = texts.where("whole and text is not null and length(text) > 0").select("page", "text", same, F.xxhash64("record_id", "text").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    sampled = texts.sparkSession.createDataFrame([(x,) for x in {r.same for r in rows}], "same long")
+    marks = {r.same: _marks(r.marks) for r in marked.join(F.broadcast(sampled), "same", "left_semi").collect()}
+    return train([(r.text, r.page, marks.get(r.same, {})) for r in rows])
 
 
-def label_lines(texts: DataFrame, model: LineModel) -> DataFrame:
-    """origin, record_id, line_no, kind of the header and pageno lines (a footer is a header)."""
+def label_lines(texts: DataFrame, model: LineModel, marked: DataFrame) -> DataFrame:
+    """origin, record_id, line_no, kind of the header and pageno lines (a footer is a header).  marked: of recurring_lines()."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for p in batches:
             out = []
-            for origin, rid, page, whole, text in zip(p["origin"], p["record_id"], p["page"], p["whole"], p["text"], strict=True):
+            for origin, rid, page, whole, text, marks in zip(p["origin"], p["record_id"], p["page"], p["whole"], p["text"], p["marks"], strict=True):
                 page = None if page is None or math.isnan(page) else int(page)
                 lines = text.split("\n")
-                for i, y in enumerate(m.labels(lines, page, whole), 1):
+                for i, y in enumerate(m.labels(lines, page, whole, _marks(marks)), 1):
                     if y in (_H, _F, _P):
                         # a page number is a line that is nothing else; the other way round the words decide
                         out.append((origin, rid, i, "pageno" if y == _P and _PAGENO.match(lines[i - 1].strip()) else "header"))
             yield pd.DataFrame(out, columns=["origin", "record_id", "line_no", "kind"])
 
-    known = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", F.col("page").cast("double").alias("page"), "whole", "text")
+    known = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", F.col("page").cast("double").alias("page"), "whole", "text", F.xxhash64("text").alias("same"))
+    known = known.join(marked, "same", "left").drop("same")
     return known.mapInPandas(run, "origin string, record_id bigint, line_no int, kind string")
 
 
@@ -325,7 +341,8 @@ def find_noise(texts: DataFrame) -> DataFrame:
     (origin, record_id) has the noise of each of its texts, once.  A line of noise appears
     once per kind and word.
     """
-    edges = cut(label_lines(texts, fit_lines(texts)).distinct())
+    marked = recurring_lines(texts)
+    edges = cut(label_lines(texts, fit_lines(texts, marked), marked).distinct())
     tokens = _line_tokens(texts)
     vocab = cut(vocabulary(tokens))
     pairs = cut(broken_words(texts))

@@ -63,3 +63,17 @@ def test_undone():
 
 def test_empty(spark):
     assert S.find_noise(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_recur_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 40)
+    rows, _ = pages(400)
+    rnd, truth = random.Random(3), set()
+    # twenty wordings that look like body lines and recur at the top of six pages each
+    wordings = [" ".join(rnd.sample(BODY, 7)) for _ in range(20)]
+    for i in range(120):
+        o, rid, page, whole, text, x = rows[i]
+        rows[i] = (o, rid, page, whole, wordings[i % 20] + "\n" + "\n".join(text.split("\n")[1:]), x)
+        truth.add((rid, 1))
+    got = {(r.record_id, r.line_no) for r in S.find_noise(spark.createDataFrame(rows, SCHEMA)).where("kind = 'header'").collect()}
+    assert len(truth & got) >= 0.95 * len(truth)
