@@ -24,8 +24,8 @@ def scores(pages: DataFrame, signals: Mapping[str, Mapping[str, bool]] = M.TYPE_
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<type_ord:int,doc_type:string,signal:string,points:int>>")
     low = lambda d: d.select("doc_id", F.lower("text").alias("low"))
     found = lambda d: low(d).select("doc_id", F.explode(F.filter(table, lambda h: F.contains(F.col("low"), h["signal"]))).alias("h"))
-    # signals over a page break: only the ends of the texts meet, the texts themselves aren't shuffled
-    ends = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.expr(f"right(text, {longest})").alias("tail")).dropDuplicates(["doc_id", "page"])
+    # signals over a page break: only the ends of the texts meet, those of every scan of a page; the texts themselves aren't shuffled
+    ends = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.expr(f"right(text, {longest})").alias("tail")).distinct()
     heads = pages.select("doc_id", "page", F.substring("text", 1, longest).alias("head"))
     breaks = heads.join(ends, ["doc_id", "page"]).select("doc_id", F.concat_ws(" ", "tail", "head").alias("text"))
     hits = found(pages).unionByName(found(breaks)).select("doc_id", "h.*").distinct()

@@ -187,3 +187,12 @@ def test_empty_inputs(spark):
     none = resolve.resolve(spark.createDataFrame([], OCC), spark.createDataFrame([], CAND), spark.createDataFrame([], "doc_id string, page int"))
     assert none.count() == 0 and checks.all_checks(none).count() == 0
     assert documents.counts(none, fields=none).count() == 0
+
+
+def test_signal_over_a_page_break_of_each_scan(spark):
+    # a page was scanned three times; a signal starts on each scan and goes on on the next page
+    scans = ["this is a loan", "you pay it before you", "the projected"]
+    rows = [("d", 1, t) for t in scans] + [("d", 2, x) for x in ("estimate of costs", "close the sale", "payments table")]
+    signals = {"A": {"loan estimate": True}, "B": {"before you close": True}, "C": {"projected payments": True}}
+    got = {r.doc_type: r.score for r in classify.scores(spark.createDataFrame(rows, "doc_id string, page int, text string"), signals).collect()}
+    assert got == {"A": 3, "B": 3, "C": 3}
