@@ -134,9 +134,17 @@ def map_spellings(spellings: DataFrame, names: Mapping[str, Mapping[str, Sequenc
     near = hits.groupBy("quantity", "unit", "unit_code", "name").agg(F.count(F.lit(1)).alias("shared"))
     near = near.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.least(F.size(_grams(F.col("unit"))), F.size(_grams(F.col("name")))) * 0.3)))
 
+    def share(a: str, b: str) -> float:
+        if a == b:
+            return 0.0
+        longer = max(len(a), len(b))
+        # what is longer than the name must at least be dropped; this spares very long texts the distance
+        surplus = sorted(DROP_COST.get(ch, 1.0) for ch in a)[: max(0, len(a) - len(b))]
+        return edit_cost(a, b) / longer if sum(surplus) <= LIMIT * longer + 1e-9 else 1.0
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            p["cost"] = [edit_cost(a[:200], b) / max(len(a), len(b)) if a != b else 0.0 for a, b in zip(p["unit"], p["name"], strict=True)]
+            p["cost"] = [share(a, b) for a, b in zip(p["unit"], p["name"], strict=True)]
             yield p[["quantity", "unit", "unit_code", "name", "cost"]][p["cost"] <= LIMIT]
 
     costed = near.mapInPandas(verify, "quantity string, unit string, unit_code string, name string, cost double")

@@ -67,3 +67,10 @@ def test_order_of_sources(spark):
 def test_empty(spark):
     out, aliases = U.standardize(*tables(spark, []))
     assert out.count() == 0 and aliases.count() == 0
+
+
+def test_long_remark_is_no_unit(spark):
+    remark = "dollars " + "as the appraiser wrote on the margin of the form " * 40
+    spelled = spark.createDataFrame([("money", remark.strip()), ("money", "dolars")], "quantity string, unit string")
+    got = U.map_spellings(spelled, {"money": {"USD": ["dollars"]}}).collect()
+    assert [r.unit for r in got] == ["dolars"]
