@@ -84,10 +84,16 @@ def name_fuzzy(spark, d):
     return names.resolve_names(v, "field")
 
 
+#: Labels of the vocabulary that the driver takes; more are an error.
+LABELS = 10_000
+
+
 def name_semantic(spark, d):
     e = table(spark, d, "embeddings")
     # the vocabulary: the first vector of each label, as many as there are labels
-    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").orderBy("label").limit(10_000).collect()
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").orderBy("label").limit(LABELS + 1).collect()
+    if len(first) > LABELS:
+        raise ValueError(f"more than {LABELS} labels: the vocabulary doesn't fit the driver")
     got = names.nearest(e, [(str(r.label), list(r.embedding)) for r in first], "vec_id", "embedding")
     return got.select("vec_id", "canonical", F.round("score", 4).alias("score"))
 

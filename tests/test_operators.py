@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks, classify, confidence, documents, names, resolve, review, tables
+from paperloom.plans import demo
 from paperloom.plans.engine import Engine, stored
 from paperloom.sources import readers, writers
 from paperloom.streaming import triggers
@@ -196,3 +197,10 @@ def test_signal_over_a_page_break_of_each_scan(spark):
     signals = {"A": {"loan estimate": True}, "B": {"before you close": True}, "C": {"projected payments": True}}
     got = {r.doc_type: r.score for r in classify.scores(spark.createDataFrame(rows, "doc_id string, page int, text string"), signals).collect()}
     assert got == {"A": 3, "B": 3, "C": 3}
+
+
+def test_labels_over_the_bound_are_an_error(spark, tmp_path):
+    rows = spark.range(10_001).select(F.col("id").alias("vec_id"), F.col("id").cast("string").alias("label"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(ValueError, match="labels"):
+        demo.name_semantic(spark, str(tmp_path))
