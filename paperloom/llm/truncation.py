@@ -58,8 +58,10 @@ def endings(docs: DataFrame) -> DataFrame:
     mark = F.regexp_extract("end", rf"(?i)(\s?[\[(]\s?(?:{LOST})\s?[\])]|\s?(?:\.\.\.|…))$", 1)
     d = d.withColumn("mark", mark).withColumn("base", F.expr("left(text, length(end) - length(mark))"))
     # the last three tokens as a column of its own, so that they are made once
-    d = d.withColumn("tokens", _tokens(F.expr("right(base, 400)"))).withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter("tokens", _is_word)), -3, 3))
-    # the tail only has the last tokens; whole texts are counted below.  A single token longer than the tail stays whole there.
+    d = d.withColumn("short", _tokens(F.expr("right(base, 400)")))
+    # the tail's first word may be a part: with fewer than four words the last three come from the whole text
+    d = d.withColumn("tokens", F.when((F.length("base") > 400) & (F.size(F.filter("short", _is_word)) < 4), _tokens(F.col("base"))).otherwise(F.col("short"))).withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter("tokens", _is_word)), -3, 3))
+    # whole texts are counted below
     return d.select(
         "id", "source", "mark", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.length("base").alias("base_chars"), F.octet_length("base").alias("base_bytes"),
         F.expr("right(base, 40)").alias("tail"), F.get("three", 2).alias("last"),

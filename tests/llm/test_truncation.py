@@ -73,3 +73,12 @@ def test_word_parts_make_no_formula(spark):
     rows += [(5000 + i, "free", t + " It has been take") for i, t in enumerate(texts[:8])]
     got = {r.doc_id for r in T.detect(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("is_cut").collect()}
     assert got == set(range(5000, 5008))
+
+
+def test_last_words_of_long_tokens(spark):
+    long = "x" * 500
+    texts = [f"the member said {long}", f"the member {'y' * 300} {'z' * 300}", "the member said " * 100 + "so", f"Order. The member {long}"]
+    ends = T.endings(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, source string, text string"))
+    hashes = [("member", "said", long), ("member", "y" * 300, "z" * 300), ("member", "said", "so"), ("the", "member", long)]
+    want = {i: spark.createDataFrame([h], "a string, b string, c string").selectExpr("xxhash64(a, b, c)").first()[0] for i, h in enumerate(hashes)}
+    assert {r.id: r.gram for r in ends.collect()} == want
