@@ -133,6 +133,10 @@ ROOT = "$"
 _TYPES = {frozenset(["int"]): "bigint", frozenset(["float"]): "double", frozenset(["int", "float"]): "double", frozenset(["bool"]): "boolean"}
 
 
+#: Share of the entries in list form in which the attribute that holds their key must be a text.
+KEY_SHARE = 0.9
+
+
 def analyse(edges: list[tuple[str, str, str, int, int]]) -> Layout:
     """Shared inlining on the schema graph.
 
@@ -167,9 +171,10 @@ def analyse(edges: list[tuple[str, str, str, int, int]]) -> Layout:
         counts = {form.split(":")[1]: n for p, c, form, n, _ in edges if p == label and form.startswith("entry:")}
         in_list = {c: n for p, c, form, n, _ in edges if p == label and form == "str:list"}
         in_keyed = {c for p, c, form, _, _ in edges if p == label and c and form.endswith(":keyed")}
-        names = sorted(c for c, n in in_list.items() if n == counts.get("list") and c not in in_keyed)
+        # the most frequent; entries that lack it keep their position
+        names = sorted((-n, c) for c, n in in_list.items() if n >= KEY_SHARE * counts.get("list", 0) and c not in in_keyed)
         if names:
-            key_attribute[label] = names[0]
+            key_attribute[label] = names[0][1]
     layout = Layout(tables, keyed & tables, key_attribute)
 
     def columns(label: str, prefix: str, into: dict[str, set[str]], seen: frozenset[str]) -> None:

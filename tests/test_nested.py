@@ -81,3 +81,9 @@ def test_deep_text_is_rejected_not_lost(spark):
     deep = '{"a":' * 5000 + "1" + "}" * 5000
     got = nested.shred(frame(spark, [deep, json.dumps(A)]), "rid", "js")
     assert {r.doc_key for r in got.records.where("child = '_rejected'").select("doc_key").collect()} <= {0}
+
+
+def test_key_attribute_despite_a_dirty_entry():
+    edges = [(nested.ROOT, "fields", "keyed", 5, 1), (nested.ROOT, "fields", "list", 3, 1), ("fields", "", "entry:list", 20, 1), ("fields", "", "entry:keyed", 9, 1)]
+    edges += [("fields", "name", "str:list", 19, 1), ("fields", "name", "null:list", 1, 1), ("fields", "value", "str:list", 20, 1), ("fields", "value", "str:keyed", 9, 1), ("fields", "a_note", "str:list", 18, 1)]
+    assert nested.analyse(edges).key_attribute == {"fields": "name"}
