@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side table up to which it is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a side table up to which it is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     The cluster names it in spark.checkpoint.dir.  Only a session that has none
-    (tests, a laptop) gets a folder of its own, and only under a local master.
+    (tests, a laptop) gets a folder of its own, and only if its executors are threads of
+    this process (local, not local-cluster); that one is removed at the end.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -28,9 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="paperloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
@@ -41,12 +48,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count, stopped just past the limit, proves the size.
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: texts and nested values by their length, others eight each."""
+    sizes = [F.lit(8)]
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary", "varchar", "char"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind in ("array", "map", "struct", "variant"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return reduce(add, sizes)
 
-    Beyond the limit the frame comes back without a hint and the join shuffles.
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if rows and bytes, counted just past the limit, prove the size.
+
+    Beyond the limits the frame itself comes back, without a hint, and the join shuffles.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= limit and (size or 0) <= most_bytes else df
 
 
 def temp_names(df: DataFrame, *wanted: str) -> list[str]:
