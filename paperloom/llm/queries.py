@@ -31,7 +31,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise.find_noise(_scanned(spark, sf_dir)).select("origin", "record_id", "line_no", "kind").distinct()
+    return scan_noise.find_noise(_scanned(spark, sf_dir)).where("kind <> 'break'").select("origin", "record_id", "line_no", "kind").distinct()
 
 
 def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:

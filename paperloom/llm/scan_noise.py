@@ -1,39 +1,41 @@
 """Noise in text from scanned pages (problem 2).
 
-Lines are labelled as header, body, break, footer or page number by a hidden Markov
-model over layout features, trained here by hard expectation-maximization from
-repetition at the pages' edges, which is counted over all pages.  Words broken over lines and misread words are decided by
-the corpus' own vocabulary: a broken word is one whose joined form the corpus knows, a
-misread one turns into a far more frequent word by undoing one optical confusion.
+Lines are labelled as header, body, break (the first line of a paragraph), footer or page
+number by a hidden Markov model over layout features and words.  It is trained by hard
+expectation-maximization, seeded by repetition at the pages' edges, which is counted over
+all pages.  Paragraphs are put together by the labels.  Within lines the corpus' own
+vocabulary decides: a broken word is one whose joined form the corpus knows, a misread one
+turns into a far more frequent word by undoing one optical confusion.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.common import broadcast_if_small, cut, join_dictionary
 
-#: Texts on which the line model is trained, at most; all texts are labelled.
-SAMPLE = 4_000
-#: Buckets of hashed features, which bound the model's size; rounds of training; share of a
-#: state's mass that is spread as features are overall.
-BUCKETS, ROUNDS, SPREAD = 1 << 15, 2, 0.01
+#: Texts on which the line model is trained, in expectation, and characters that such a text
+#: may have; all texts of any length are labelled, and counted for recurring lines.
+SAMPLE, SAMPLE_CHARS = 4_000, 100_000
+#: Buckets of hashed words and of layout features, which bound the model's size; most rounds
+#: of training, and share of lines under which a change of labels ends it; share of a state's
+#: mass that is spread as features are overall.
+BUCKETS, LAYOUTS, ROUNDS, SETTLED, SPREAD = 1 << 15, 1 << 11, 12, 0.001, 0.01
 #: A misread word's correction must be so frequent, and so many times as frequent.
 COMMON, TIMES = 30, 10
 #: The same for words with a sign that words don't have.
 COMMON_ODD = 3
-#: Rows of the dictionary of misread words up to which it is broadcast.
+#: Rows of the dictionary of noisy tokens up to which it is broadcast.
 DICTIONARY = 1_000_000
 
 #: What a scanner reads -> what was printed.
@@ -41,12 +43,20 @@ CONFUSIONS = (
     ("c", "e"), ("é", "e"), ("ri", "n"), ("+", "t"), ("@", "a"), ("l", "i"), ("0", "o"), ("cl", "d"), ("5", "s"), ("1", "l"), ("1", "i"), ("ii", "u"), ("rn", "m"),
     ("9", "g"), ("b", "h"), ("6", "b"), ("vv", "w"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("h", "li"), ("f", "t"), ("8", "b"), ("|", "l"), ("3", "e"), ("€", "e"), ("$", "s"), ("è", "e"), ("á", "a"), ("à", "a"), ("ó", "o"), ("í", "i"), ("ü", "u"), ("ii", "n"), ("li", "h"), ("e", "c"), ("m", "rn"), ("d", "cl"), ("i", "l"), ("t", "f"), ("u", "n"), ("n", "u"), ("nn", "m"),
 )
-HYPHENS = "-‐‑­¬"
+HYPHENS = "-‐‑­¬–"
+#: White space and control characters; signs that mark a broken word's parts.
+BLANKS = "\t\r\x00\x01\x02\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+JOINED, CONTINUED = "\x01", "\x02"
 STATES = ("header", "body", "break", "footer", "pageno")
+#: A text's labels are one letter a line; a blank line has none.
+CODES, BLANK = "HBKFP", "-"
 _H, _B, _K, _F, _P = range(5)
 _PAGENO = re.compile(r"^[\W_]*(?:p(?:a?g)?e?\.?\s*|s(?:eite)?\.?\s*)?(\d{1,5}|[ivxlc]{1,7})(?:\s*(?:of|/|von|de|sur)\s*(\d{1,5}))?[\W_]*$", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _FOLD = str.maketrans({"1": "i", "l": "i", "0": "o", "5": "s", "c": "e", "é": "e", "@": "a", "+": "t", "6": "b", "9": "g", "h": "b", "f": "t"})
+_GAP = re.compile(r"\S(?: {2,}| \.{3,} )\S")
+_TABLE = re.compile(r"\S(?: {3,}| \.{3,} )\S")
+_CENTS, _DASHES = re.compile(r"[.,]?[0-9OlISB]{2}$"), re.compile(r"[—·|]|/ |____")
 
 
 def _value(s: str) -> int:
@@ -56,190 +66,288 @@ def _value(s: str) -> int:
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0], strict=True))
 
 
-@lru_cache(maxsize=200_000)
-def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % BUCKETS
-
-
-@lru_cache(maxsize=200_000)
 def _word_slot(word: str) -> int:
     w = re.sub(r"#+", "#", re.sub(r"\d{2,}", "#", word).strip(".,;:()[]").translate(_FOLD).replace("rn", "m").replace("ii", "u"))
-    return _slot("w:" + w)
+    return zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 #: Of a text's lines that recur, by index: whether mostly at edges (null below 5 times), whether at edges and hardly elsewhere.
 Marks = dict[int, tuple[bool | None, bool]]
+#: A text to label: its lines, page number, whether it is a whole page, marks.
+Entry = tuple[list[str], int | None, bool, Marks]
 
 
-def line_features(lines: list[str], page: int | None, whole: bool = True, marks: Marks | None = None) -> list[list[int] | None]:
-    """Hashed features of each line; None for a blank one.  A text that is not a whole page has no edges."""
-    filled = [i for i, x in enumerate(lines) if x.strip()]
-    place = {i: k for k, i in enumerate(filled)}
-    out: list[list[int] | None] = []
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            out.append(None)
-            continue
-        k, n = place[i], len(filled)
-        where = "inner" if not whole else "only" if n == 1 else "first" if k == 0 else "last" if k == n - 1 else "last2" if k == n - 2 and n > 2 else "second" if k == 1 else "inner"
-        m = _PAGENO.match(s)
-        number = "none" if not m else "page" if page is not None and _value(m[1]) == page else "other"
-        letters = [ch for ch in s if ch.isalpha()]
-        f = [
-            f"where:{where}", f"number:{number}:{where in ('first', 'last', 'only')}", f"number:{number}",
-            f"caps:{bool(letters) and sum(ch.isupper() for ch in letters) > 0.8 * len(letters)}", f"gap:{'   ' in s or '  ' in s}", f"stop:{s[-1] in '.;,:'}",
-            f"money:{bool(re.search(r'[.,]?[0-9OlISB]{2}$', s)) and '$' in s}", f"low:{s[:1].islower()}", f"long:{len(s) > 45}", f"tokens:{min(len(s.split()), 6)}", f"before:{i == 0 or not lines[i - 1].strip()}", f"after:{i + 1 == len(lines) or not lines[i + 1].strip()}",
-            f"dash:{any(x in s for x in ('—', '·', '|', '/ ', '____'))}",
-        ]
-        recurs = (marks or {}).get(i, (None, False))[0]
-        if recurs is not None and len(letters) >= 6:
-            f += [f"recurs:{recurs}"] * 2
-        out.append([*map(_slot, f), *map(_word_slot, s.lower().split()[:12])])
-    return out
+@dataclass
+class Lexicon:
+    """Slots of words and layouts met so far; a worker's memory, emptied where it grows large."""
+
+    words: dict[str, int] = field(default_factory=dict)
+    layouts: dict[tuple, int] = field(default_factory=dict)
+    #: feature slots of each layout
+    slots: list[list[int]] = field(default_factory=list)
+
+    def layout(self, features: tuple) -> int:
+        got = self.layouts.get(features)
+        if got is None:
+            got = self.layouts[features] = len(self.slots)
+            self.slots.append([zlib.crc32(f"{k}:{x}".encode()) % LAYOUTS for k, x in enumerate(features) if x is not None])
+        return got
+
+
+@dataclass
+class Lines:
+    """Features of the non-blank lines of several texts, one after another."""
+
+    #: lines of each text; place of each line in its text
+    sizes: np.ndarray
+    places: list[list[int]]
+    #: layout of each line; slots of all words, and where each line's begin
+    layouts: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+
+
+def features(entries: Sequence[Entry], lexicon: Lexicon) -> Lines:
+    """Layout and all words of every line that isn't blank.  A text that is not a whole page has no edges."""
+    known = lexicon.words
+    if len(known) > 500_000:
+        known.clear()
+    sizes, places, layouts, words, starts = [], [], [], [], []
+    for lines, page, whole, marks in entries:
+        bare = [x.strip() for x in lines]
+        filled = [i for i, x in enumerate(bare) if x]
+        n = len(filled)
+        sizes.append(n)
+        places.append(filled)
+        # the usual width of a line: short ones end paragraphs
+        width = sorted(len(bare[i]) for i in filled)[(3 * n) // 4] if n else 0
+        before, before_gap = "", False
+        for k, i in enumerate(filled):
+            s = bare[i]
+            where = "inner" if not whole else "only" if n == 1 else "first" if k == 0 else "last" if k == n - 1 else "last2" if k == n - 2 and n > 2 else "second" if k == 1 else "inner"
+            m = _PAGENO.match(s)
+            number = None if not m else "page" if page is not None and _value(m[1]) == page else "other"
+            caps = s[:3].upper() == s[:3] and (s.isupper() or sum(ch.isupper() for ch in s) > 0.8 * max(1, sum(ch.isalpha() for ch in s)))
+            gap = bool(_GAP.search(s))
+            tokens = s.lower().split()
+            recurs = marks.get(i, (None, False))[0] if marks and len(s) >= 6 else None
+            short = bool(before) and len(before) < 0.8 * width
+            stopped = before[-1:] in ".:;?!"
+            layouts.append(lexicon.layout((
+                where, number and (number, where in ("first", "last", "only")), number, caps, gap, s[-1] in ".;,:", "$" in s and bool(_CENTS.search(s)), s[0].islower(), len(s) > 45, min(len(tokens), 6),
+                i == 0 or not bare[i - 1], i + 1 == len(lines) or not bare[i + 1], bool(_DASHES.search(s)), recurs, recurs, (short, stopped), (stopped, s[0].isupper()), before_gap, before[-1:] in HYPHENS if before else None,
+            )))
+            starts.append(len(words))
+            for w in tokens:
+                slot = known.get(w)
+                if slot is None:
+                    slot = known[w] = _word_slot(w)
+                words.append(slot)
+            before, before_gap = s, gap
+    return Lines(np.array(sizes, dtype=np.int64), places, np.array(layouts, dtype=np.int64), np.array(words, dtype=np.int64), np.array(starts, dtype=np.int64))
+
+
+def _line_key(line: Column) -> Column:
+    """Hash of a line (in lower case) without digits, spacing and signs for numbers."""
+    return F.xxhash64(F.translate(line, "0123456789# " + BLANKS, ""))
+
+
+def _keyed_lines(texts: DataFrame) -> DataFrame:
+    """whole, same (hash of the text), line_no, key, at_edge of the lines that aren't blank."""
+    lines = texts.where("text is not null").select("whole", F.xxhash64("text").alias("same"), F.split(F.lower("text"), "\n").alias("ls"))
+    filled = F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: F.trim(F.translate(s["line"], BLANKS, "")) != "")
+    each = lines.select("whole", "same", filled.alias("ls")).select("whole", "same", F.size("ls").alias("size"), F.posexplode("ls").alias("k", "s"))
+    return each.select("whole", "same", "s.line_no", _line_key(F.col("s.line")).alias("key"), ((F.col("k") == 0) | (F.col("k") >= F.col("size") - 2)).alias("at_edge"))
 
 
 def recurring_lines(texts: DataFrame) -> DataFrame:
-    """same (hash of the text), marks of each text with lines that recur; marks: array of line_no, mostly, seed.
+    """same (hash of the text), marks of each text with lines that recur.
 
-    Lines are compared without case, digits and spacing, and counted over all whole pages.
-    mostly: of lines that occur 5 times, whether most are at edges of pages; seed: whether
-    the line is 3 times at edges and hardly elsewhere.
+    Lines are compared without case, digits and spacing, and counted over all whole pages,
+    on the map side first.  marks holds an integer a line: four times its number, plus two
+    if it occurs 5 times, one if that is mostly at edges, and the negative of that if it is 3
+    times at edges and hardly elsewhere.
     """
-    lines = texts.where("text is not null").select("whole", F.xxhash64("text").alias("same"), F.split("text", "\n").alias("ls"))
-    filled = F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: s["line"].rlike(r"(?U)[^\s\x1c-\x1f]"))
-    each = lines.withColumn("ls", filled).select("whole", "same", F.size("ls").alias("size"), F.posexplode("ls").alias("k", "s"))
-    skeleton = F.regexp_replace(F.regexp_replace(F.lower("s.line"), r"(?U)[\s\d#]+", " "), "^ | $", "")
-    at_edge = (F.col("k") == 0) | (F.col("k") >= F.col("size") - 2)
-    keyed = each.select("whole", "same", "s.line_no", F.xxhash64(skeleton).alias("key"), at_edge.alias("at_edge"))
-    # copies of a text meet before the shuffle
-    spots = cut(keyed.groupBy("same", "line_no", "key").agg(F.count(F.when(F.col("whole"), 1)).alias("n"), F.count(F.when(F.col("whole") & F.col("at_edge"), 1)).alias("edge")))
+    lines = _keyed_lines(texts)
     n, edge = F.col("n"), F.col("edge")
-    counts = spots.groupBy("key").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"))
-    counts = counts.select("key", F.when(n >= 5, edge > 0.5 * n).alias("mostly"), ((edge >= 3) & (edge > 0.85 * n)).alias("seed")).where("mostly is not null or seed")
-    found = join_dictionary(spots.select("same", "line_no", "key"), cut(counts), ["key"], "inner")
-    # a text's marks are as bounded as the text
-    return cut(found.groupBy("same").agg(F.collect_list(F.struct("line_no", "mostly", "seed")).alias("marks")))
+    counts = lines.where("whole").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("at_edge"), 1)).alias("edge"))
+    seed = (edge >= 3) & (edge > 0.85 * n)
+    code = F.when(n >= 5, 2 + (edge > 0.5 * n).cast("int")).otherwise(0)
+    counts = cut(counts.where((n >= 5) | seed).select("key", code.alias("code"), F.when(seed, -1).otherwise(1).alias("sign")))
+    found = join_dictionary(lines.select("same", "line_no", "key"), counts, ["key"], "inner")
+    # a text's marks are as bounded as the text; copies of a text meet before the shuffle
+    return found.groupBy("same").agg(F.collect_set(((F.col("line_no") * 4 + F.col("code")) * F.col("sign")).cast("int")).alias("marks"))
+
 
+def _marks(marks: Iterable[int] | None) -> Marks:
+    return {} if marks is None else {abs(x) // 4 - 1: (None if abs(x) % 4 == 0 else abs(x) % 4 == 3, x < 0) for x in marks}
 
-def _marks(marks: Iterable | None) -> Marks:
-    return {} if marks is None else {x["line_no"] - 1: (x["mostly"], x["seed"]) for x in marks}
 
+def seed_labels(entries: Sequence[Entry]) -> list[int]:
+    """First labels of all lines that aren't blank.
 
-def seed_labels(texts: list[tuple[list[str], int | None, Marks]]) -> list[list[int]]:
-    """First labels, by position and by lines that recur at edges of texts and hardly elsewhere."""
-    out = []
-    for lines, page, marks in texts:
-        filled = [i for i, x in enumerate(lines) if x.strip()]
+    Edges and lines that recur there tell headers, footers and page numbers; a paragraph
+    starts after a blank line, at and after lines of tables, and where a short line ends a sentence.
+    """
+    out: list[int] = []
+    for lines, page, _, marks in entries:
+        bare = [x.strip() for x in lines]
+        filled = [i for i, x in enumerate(bare) if x]
         n = len(filled)
-        y = [_B if x.strip() else _K for x in lines]
-        for i, k in [(i, k if k < 1 else k - n) for k, i in enumerate(filled) if k == 0 or k >= n - 2]:
-            m = _PAGENO.match(lines[i].strip())
-            if m and k in (0, -1) and (page is None or _value(m[1]) == page):
-                y[i] = _P
-            elif n > 3 and marks.get(i, (None, False))[1]:
-                y[i] = _H if k == 0 else _F
-        out.append(y)
+        width = sorted(len(bare[i]) for i in filled)[(3 * n) // 4] if n else 0
+        before = ""
+        for k, i in enumerate(filled):
+            s, m = bare[i], _PAGENO.match(bare[i])
+            label = None
+            if k == 0 or k >= n - 2:
+                if m and k in (0, n - 1) and (page is None or _value(m[1]) == page):
+                    label = _P
+                elif n > 3 and marks.get(i, (None, False))[1]:
+                    label = _H if k == 0 else _F
+            if label is None:
+                opens = not before or not bare[i - 1] or _GAP.search(s) or _GAP.search(before) or (len(before) < 0.8 * width and before[-1] in ".:;?!" and not s[0].islower())
+                label = _K if opens else _B
+                before = s
+            out.append(label)
     return out
 
 
 @dataclass
 class LineModel:
-    #: log emissions (feature, state), log transitions, log starts
-    emit: np.ndarray
+    #: log emissions of layout features and words (slot, state), log transitions, log starts
+    layout: np.ndarray
+    word: np.ndarray
     step: np.ndarray
     start: np.ndarray
 
-    def labels(self, lines: list[str], page: int | None, whole: bool, marks: Marks) -> list[int]:
-        return viterbi(line_features(lines, page, whole, marks), (self.emit, self.step, self.start))
+    def emissions(self, x: Lines, lexicon: Lexicon) -> np.ndarray:
+        table = np.array([self.layout[s].sum(axis=0) for s in lexicon.slots]).reshape(-1, 5)
+        own = table[x.layouts] if len(x.layouts) else np.zeros((0, 5))
+        if len(x.words):
+            # every line has a word, so no start is followed by itself
+            own = own + np.add.reduceat(self.word[x.words], x.starts, axis=0)
+        return own
 
+    def labels(self, x: Lines, lexicon: Lexicon) -> np.ndarray:
+        return viterbi(self.emissions(x, lexicon), x.sizes, self.step, self.start)
 
-def train(texts: list[tuple[str, int | None, Marks]]) -> LineModel:
-    """The line model, by hard EM from the seeds."""
-    data = [(t.split("\n"), p, m) for t, p, m in texts]
-    labels = seed_labels(data)
-    features = [line_features(lines, p, True, m) for lines, p, m in data]
-    model = _count(features, labels)
+
+def train(entries: Sequence[Entry]) -> LineModel:
+    """The line model, by hard EM from the seeds until the labels settle."""
+    lexicon = Lexicon()
+    x = features(entries, lexicon)
+    y = np.array(seed_labels(entries), dtype=np.int8)
+    model = _count(x, y, lexicon)
     for _ in range(ROUNDS - 1):
-        labels = [viterbi(f, model) for f in features]
-        model = _count(features, labels)
-    return LineModel(*model)
+        new = model.labels(x, lexicon)
+        moved = (new != y).sum()
+        y = new
+        model = _count(x, y, lexicon)
+        if moved <= SETTLED * len(y):
+            break
+    return model
+
+
+def _count(x: Lines, y: np.ndarray, lexicon: Lexicon) -> LineModel:
+    y = y.astype(np.int64)
+    first = np.zeros(len(y) + 1, dtype=bool)
+    first[np.cumsum(x.sizes) - x.sizes] = True
+    first = first[: len(y)] if len(y) else first[:0]
+    start = np.bincount(y[first], minlength=5) + 0.5
+    follows = np.flatnonzero(~first)
+    step = np.bincount(5 * y[follows - 1] + y[follows], minlength=25).reshape(5, 5) + 0.5
+    per_layout = np.bincount(5 * x.layouts + y, minlength=5 * len(lexicon.slots)).reshape(-1, 5)
+    layout = np.zeros((LAYOUTS, 5))
+    for slots, n in zip(lexicon.slots, per_layout, strict=True):
+        np.add.at(layout, slots, n)
+    ends = np.append(x.starts[1:], len(x.words))
+    word = np.bincount(5 * x.words + np.repeat(y, ends - x.starts), minlength=5 * BUCKETS).astype(float).reshape(BUCKETS, 5)
+    # a paragraph's first line has no words of its own
+    word[:, [_B, _K]] = word[:, [_B, _K]].sum(axis=1, keepdims=True)
+    return LineModel(_log_shares(layout), _log_shares(word), np.log(step / step.sum(axis=1, keepdims=True)), np.log(start / start.sum()))
+
+
+def _log_shares(e: np.ndarray) -> np.ndarray:
+    """Log shares in each state; what is new to all states decides nothing."""
+    usual = (e.sum(axis=1, keepdims=True) + 0.01) / (e.sum() + 0.01 * len(e))
+    mass = e.sum(axis=0, keepdims=True) + 1.0
+    return np.log(e + SPREAD * mass * usual) - np.log((1 + SPREAD) * mass)
 
 
-def _count(features: list, labels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t, s, cells = np.full((5, 5), 0.5), np.full(5, 0.5), []
-    for fs, ys in zip(features, labels, strict=True):
-        if not ys:
-            continue
-        s[ys[0]] += 1
-        for a, b in zip(ys, ys[1:], strict=False):
-            t[a, b] += 1
-        for f, y in zip(fs, ys, strict=True):
-            if f is not None:
-                cells.extend([5 * x + y for x in f])
-    e = np.bincount(np.array(cells, dtype=np.int64), minlength=5 * BUCKETS).astype(float).reshape(BUCKETS, 5)
-    # words that are new to all states decide nothing
-    usual = (e.sum(axis=1, keepdims=True) + 0.01) / (e.sum() + 0.01 * BUCKETS)
-    mass = e.sum(axis=0, keepdims=True) + 1.0
-    e = np.log(e + SPREAD * mass * usual) - np.log((1 + SPREAD) * mass)
-    return e, np.log(t / t.sum(axis=1, keepdims=True)), np.log(s / s.sum())
-
-
-def viterbi(features: list[list[int] | None], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[int]:
-    """Most likely labels; blank lines are breaks and only they are."""
-    e, t, s = model
-    if not features:
-        return []
-    blank = np.array([-1e9, -1e9, 0.0, -1e9, -1e9])
-    score, back = None, []
-    for f in features:
-        if f is None:
-            own = blank
-        else:
-            own = e[f].sum(axis=0)
-            own[_K] = -1e9
-        if score is None:
-            score = s + own
-        else:
-            step = score[:, None] + t
-            best = step.argmax(axis=0)
-            back.append(best)
-            score = step[best, np.arange(5)] + own
-    y = [int(score.argmax())]  # the last line's place is among its features
-    for best in reversed(back):
-        y.append(int(best[y[-1]]))
-    return y[::-1]
+def viterbi(own: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray, cells: int = 200_000) -> np.ndarray:
+    """Most likely states of several sequences whose log emissions stand one after another.
+
+    Sequences of like length go together, as many as fill ``cells`` places.
+    """
+    out = np.empty(len(own), dtype=np.int8)
+    order, begins = np.argsort(sizes, kind="stable"), np.cumsum(sizes) - sizes
+    order = order[sizes[order] > 0]
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * sizes[order[j]] <= cells:
+            j += 1
+        group = order[i:j]
+        longest, rows = int(sizes[group[-1]]), np.arange(len(group))
+        there = np.arange(longest) < sizes[group][:, None]
+        at = (begins[group][:, None] + np.arange(longest))[there]
+        seen = np.zeros((len(group), longest, 5))
+        seen[there] = own[at]
+        back = np.empty((longest, len(group), 5), dtype=np.int8)
+        score = start + seen[:, 0]
+        for k in range(1, longest):
+            ways = score[:, :, None] + step
+            live = there[:, k][:, None]
+            back[k] = np.where(live, ways.argmax(axis=1), np.arange(5))
+            score = np.where(live, ways.max(axis=1) + seen[:, k], score)
+        y, best = score.argmax(axis=1), np.empty((len(group), longest), dtype=np.int8)
+        for k in range(longest - 1, 0, -1):
+            best[:, k] = y
+            y = back[k][rows, y]
+        best[:, 0] = y
+        out[at] = best[there]
+        i = j
+    return out
 
 
 def fit_lines(texts: DataFrame, marked: DataFrame) -> LineModel:
-    """The line model, its emissions and transitions trained on the SAMPLE whole pages of least hash.  Expects record_id, page, whole, text."""
-    same = F.xxhash64("text").alias("same")
-    rows = texts.where("whole and text is not null and length(text) > 0").select("page", "text", same, F.xxhash64("record_id", "text").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    """The line model, its emissions and transitions trained on about SAMPLE whole pages chosen by hash.
+
+    Their number is counted first, so that no more than twice SAMPLE rows reach the driver,
+    whatever the number of tasks.  Expects record_id, page, whole, text.
+    """
+    fit = texts.where(f"whole and text is not null and length(text) between 1 and {SAMPLE_CHARS}")
+    n = max(fit.count(), 1)
+    chosen = fit.where(F.pmod(F.xxhash64("record_id", "text"), F.lit(n)) < SAMPLE).select("page", "text", F.xxhash64("text").alias("same")).limit(2 * SAMPLE)
+    rows = chosen.collect()
     sampled = texts.sparkSession.createDataFrame([(x,) for x in {r.same for r in rows}], "same long")
     marks = {r.same: _marks(r.marks) for r in marked.join(F.broadcast(sampled), "same", "left_semi").collect()}
-    return train([(r.text, r.page, marks.get(r.same, {})) for r in rows])
+    return train([(r.text.split("\n"), r.page, True, marks.get(r.same, {})) for r in sorted(rows, key=lambda r: (r.same, r.page or 0))])
 
 
 def label_lines(texts: DataFrame, model: LineModel, marked: DataFrame) -> DataFrame:
-    """origin, record_id, line_no, kind of the header and pageno lines (a footer is a header).  marked: of recurring_lines()."""
+    """origin, record_id, labels (a letter a line) of each text with words.  marked: of recurring_lines()."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for p in batches:
-            out = []
-            for origin, rid, page, whole, text, marks in zip(p["origin"], p["record_id"], p["page"], p["whole"], p["text"], p["marks"], strict=True):
-                page = None if page is None or math.isnan(page) else int(page)
-                lines = text.split("\n")
-                for i, y in enumerate(m.labels(lines, page, whole, _marks(marks)), 1):
-                    if y in (_H, _F, _P):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, lexicon = shared.value, Lexicon()
+        for batch in batches:
+            for part in (batch.slice(k, 2_000) for k in range(0, batch.num_rows, 2_000)):
+                texts, pages, whole, marks = (part.column(c).to_pylist() for c in ("text", "page", "whole", "marks"))
+                entries = [(t.split("\n"), p, bool(w), _marks(x)) for t, p, w, x in zip(texts, pages, whole, marks, strict=True)]
+                x = features(entries, lexicon)
+                y, out, at = m.labels(x, lexicon), [], 0
+                for (lines, _, _, _), places in zip(entries, x.places, strict=True):
+                    label = [BLANK] * len(lines)
+                    for i, state in zip(places, y[at : at + len(places)].tolist(), strict=True):
                         # a page number is a line that is nothing else; the other way round the words decide
-                        out.append((origin, rid, i, "pageno" if y == _P and _PAGENO.match(lines[i - 1].strip()) else "header"))
-            yield pd.DataFrame(out, columns=["origin", "record_id", "line_no", "kind"])
+                        label[i] = "H" if state == _P and not _PAGENO.match(lines[i].strip()) else CODES[state]
+                    at += len(places)
+                    out.append("".join(label))
+                yield pa.RecordBatch.from_arrays([part.column("origin"), part.column("record_id"), pa.array(out, pa.string())], names=["origin", "record_id", "labels"])
 
-    known = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", F.col("page").cast("double").alias("page"), "whole", "text", F.xxhash64("text").alias("same"))
-    known = known.join(marked, "same", "left").drop("same")
-    return known.mapInPandas(run, "origin string, record_id bigint, line_no int, kind string")
+    known = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", F.col("page").cast("int").alias("page"), "whole", "text", F.xxhash64("text").alias("same"))
+    return join_dictionary(known, marked, ["same"]).drop("same").mapInArrow(run, "origin string, record_id bigint, labels string")
 
 
 _EDGE = r"^[^\p{L}\p{N}@+|€]+|[^\p{L}\p{N}@+|€]+$"
@@ -248,39 +356,24 @@ _NUMBER = r"^[($]*(?=[^\s]*[0-9])(?=[^\s]*[OolISB])[0-9OolISB]+(?:[.,/][0-9OolIS
 _ODD = r"[0-9@+|€$\x{FB01}\x{FB02}éèáàóíü]"
 
 
-def _bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \t\r"))
+def line_tokens(texts: DataFrame) -> DataFrame:
+    """origin, record_id, line_no, token of all words, as they stand between blanks.
 
-
-def _ends_broken(line: Column) -> Column:
-    """Whether a line ends in a hyphen after a letter; most lines are settled by their last character."""
-    return F.when(F.substring(_bare(line), -1, 1).isin(*HYPHENS), F.substring(_bare(line), -2, 2).rlike(r"^\p{L}")).otherwise(F.lit(False))
-
-
-def _line_tokens(texts: DataFrame) -> DataFrame:
-    """origin, record_id, line_no, token (raw), word (lower case, without outer punctuation), edge.
-
-    edge: the last token of a line that ends in a hyphen, or the first after one; those are
-    parts of words.
+    Where a line ends in a hyphen, its last token holds the next line's first one too, after
+    the sign JOINED; that one itself begins with CONTINUED.
     """
-    lines = texts.where("text is not null").select("origin", "record_id", F.split("text", "\n").alias("ls"))
-    each = lines.select("origin", "record_id", F.posexplode(F.transform("ls", lambda x, i: F.struct(x.alias("line"), _ends_broken(F.when(i > 0, F.element_at("ls", F.greatest(i, F.lit(1)))).otherwise("")).alias("after"), _ends_broken(x).alias("broken")))).alias("i", "x"))
-    toks = F.filter(F.split("x.line", r"(?U)\s+"), lambda w: w != "")
-    words = each.select("origin", "record_id", (F.col("i") + 1).alias("line_no"), F.col("x.after").alias("after"), F.col("x.broken").alias("broken"), toks.alias("ts"))
-    flat = words.select("origin", "record_id", "line_no", "after", "broken", F.size("ts").alias("n"), F.posexplode("ts").alias("k", "token"))
-    return flat.select("origin", "record_id", "line_no", "token", F.lower(F.regexp_replace("token", _EDGE, "")).alias("word"), ((F.col("after") & (F.col("k") == 0)) | (F.col("broken") & (F.col("k") == F.col("n") - 1))).alias("edge"))
-
-
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """word, n over all texts; parts of broken words aside."""
-    return tokens.where(~F.col("edge") & F.col("word").rlike(r"\p{L}") & (F.length("word") <= 60)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.regexp_replace(F.translate("text", BLANKS, " " * len(BLANKS)), rf"([{HYPHENS}]) *\n *(?=([^ \n]+))", f"$1{JOINED}$2\n{CONTINUED}")
+    lines = texts.where("text is not null").select("origin", "record_id", F.posexplode(F.split(marked, "\n")).alias("i", "line"))
+    tokens = lines.select("origin", "record_id", (F.col("i") + 1).alias("line_no"), F.explode(F.split("line", " ")).alias("token"))
+    return tokens.where("token <> ''")
 
 
 def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """word, fixed, at of the given words(word) that undoing one or two optical confusions turns into a common one.
 
     Of several corrections the most frequent counts, then the alphabetically first; at is
-    the place of the first confusion.
+    the place of the first confusion.  A word longer than all common ones by more than two
+    confusions can make has none.
     """
 
     def undo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,11 +382,17 @@ def misread_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
             for w, n in zip(p["word"], p["n"], strict=True):
                 for f, at in _undone(w).items():
                     out.append((w, n, f, at))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["word", "n", "fixed", "at"])
+                    out = []
             yield pd.DataFrame(out, columns=["word", "n", "fixed", "at"])
 
-    tries = words.join(vocab, "word", "left").na.fill(0, ["n"]).where("length(word) >= 3").mapInPandas(undo, "word string, n bigint, fixed string, at int")
+    common = vocab.where(F.col("n") >= COMMON_ODD)
+    longest = common.agg(F.max(F.length("word"))).first()[0] or 0
+    judged = words.where(F.length("word").between(3, longest + 2)).join(vocab, "word", "left").na.fill(0, ["n"])
+    tries = judged.mapInPandas(undo, "word string, n bigint, fixed string, at int")
     odd = F.col("word").rlike(_ODD)
-    hits = tries.join(vocab.select(F.col("word").alias("fixed"), F.col("n").alias("m")).where(F.col("m") >= COMMON_ODD), "fixed")
+    hits = tries.join(common.select(F.col("word").alias("fixed"), F.col("n").alias("m")), "fixed")
     good = hits.where(F.col("m") >= F.when(odd, F.greatest(F.lit(COMMON_ODD), F.col("n"))).otherwise(F.greatest(F.lit(COMMON), TIMES * F.col("n"))))
     best = good.groupBy("word").agg(F.max(F.struct(F.col("m"), F.col("fixed"), F.col("at"))).alias("b"))
     return best.select("word", "b.fixed", "b.at")
@@ -303,7 +402,7 @@ def _undone(word: str) -> dict[str, int]:
     """Texts that undoing one confusion makes of a word, or two where it holds a sign words don't have."""
     out: dict[str, int] = {}
     level = {word: -1}
-    for depth in range(2):
+    for _ in range(2):
         new: dict[str, int] = {}
         for w, first in level.items():
             for bad, good in CONFUSIONS:
@@ -315,67 +414,77 @@ def _undone(word: str) -> dict[str, int]:
                     k = w.find(bad, k + 1)
         out.update(new)
         level = {w: k for w, k in new.items() if re.search(r"[0-9@+|é]", w)}
-        if not level or len(out) > 400:
+        if not level:
             break
     return out
 
 
-def broken_words(texts: DataFrame) -> DataFrame:
-    """origin, record_id, line_no, left, right of lines that end in a hyphen and go on in lower case."""
-    lines = texts.where("text is not null").select("origin", "record_id", F.split("text", "\n").alias("ls"))
-    left = lambda x: F.regexp_extract(x, rf"([\p{{L}}\p{{N}}@+|'’\-]*\p{{L}}[\p{{L}}@+|0-9]*)[{HYPHENS}]\s*$", 1)
-    right = lambda x: F.regexp_extract(x, r"^\s*([\p{Ll}0-9@+|\x{FB01}\x{FB02}][\p{L}0-9@+|'’\-\x{FB01}\x{FB02}]*)", 1)
-    numbered = F.filter(F.transform("ls", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("line_no"), F.coalesce(F.get("ls", i + 1), F.lit("")).alias("next"))), lambda s: F.substring(_bare(s["x"]), -1, 1).isin(*HYPHENS))
-    # only the lines that end in a hyphen meet the patterns, and only their last thousand characters
-    pick = F.transform(numbered, lambda s: F.struct(s["line_no"].alias("line_no"), left(F.substring(_bare(s["x"]), -1000, 1000)).alias("left"), right(s["next"]).alias("right")))
-    out = lines.select("origin", "record_id", F.explode(F.filter(pick, lambda s: (s["left"] != "") & (s["right"] != ""))).alias("s"))
-    return out.select("origin", "record_id", "s.line_no", F.lower("s.left").alias("left"), F.lower("s.right").alias("right"))
+def noisy_tokens(counted: DataFrame) -> DataFrame:
+    """token, noise (array of kind, word, fixed, below) of the distinct tokens(token, n) that hold noise.
 
-
-def find_noise(texts: DataFrame) -> DataFrame:
-    """origin, record_id, line_no, kind, word, fixed of each noisy line of texts(origin, record_id, page, whole, text).
-
-    Kinds: header (also footers), pageno, hyphen, char; the first two exclude the others.
-    word and fixed tell what was misread or broken, else they are null.  Null, empty and
-    blank texts have no noise; texts of any length are read whole; a repeated
-    (origin, record_id) has the noise of each of its texts, once.  A line of noise appears
-    once per kind and word.
+    All rules meet the distinct tokens only.  below: how many lines under the token's own
+    the noise stands.
     """
-    marked = recurring_lines(texts)
-    edges = cut(label_lines(texts, fit_lines(texts, marked), marked).distinct())
-    tokens = _line_tokens(texts)
-    vocab = cut(vocabulary(tokens))
-    pairs = cut(broken_words(texts))
-    part = F.regexp_extract("left", r"([^\-]*)$", 1)
-    joins = pairs.select("left", "right").distinct().withColumn("joined", F.concat("left", "right")).withColumn("compound", F.concat("left", F.lit("-"), "right")).withColumn("piece", F.concat(part, "right"))
-    todo = vocab.select("word").union(joins.select("joined")).union(joins.select("piece")).distinct()
+    is_pair, goes_on = F.col("token").contains(JOINED), F.col("token").startswith(CONTINUED)
+    bare = F.lower(F.regexp_replace("token", _EDGE, ""))
+    part = F.col("token").rlike(rf"\p{{L}}[{HYPHENS}]$")
+    typed = cut(counted.select("token", "n", is_pair.alias("pair"), goes_on.alias("on"), F.when(~is_pair & ~goes_on & ~part & bare.rlike(r"\p{L}"), bare).alias("word")))
+    vocab = cut(typed.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    # broken words: letters, a hyphen, and lower-case letters on the next line
+    ends = F.split("token", JOINED)
+    left = F.regexp_extract(ends[0], rf"([\p{{L}}\p{{N}}@+|'’\-]*\p{{L}}[\p{{L}}@+|0-9]*)[{HYPHENS}]$", 1)
+    right = F.regexp_extract(ends[1], r"^([\p{Ll}0-9@+|\x{FB01}\x{FB02}][\p{L}0-9@+|'’\-\x{FB01}\x{FB02}]*)", 1)
+    pairs = typed.where("pair").select("token", F.lower(left).alias("left"), F.lower(right).alias("right")).where("left <> '' and right <> ''")
+    tail = F.regexp_extract("left", r"([^\-]*)$", 1)
+    pairs = cut(pairs.select("token", "left", "right", F.concat("left", "right").alias("joined"), F.concat("left", F.lit("-"), "right").alias("compound"), F.concat(tail, "right").alias("piece")))
+    todo = vocab.select("word").union(pairs.select("joined")).union(pairs.select("piece")).distinct()
     wrong = cut(misread_words(todo, vocab))
+    # how often the corpus has each form; a form may belong to many pairs, so the pairs are kept distinct here
     n_of = lambda name: vocab.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
-    fix_of = lambda name: wrong.select(F.col("word").alias(name), F.col("fixed").alias(f"fix_{name}"), F.col("at").alias(f"at_{name}"))
-    seen = joins.join(n_of("joined"), "joined", "left").join(n_of("compound"), "compound", "left").join(n_of("piece"), "piece", "left").join(fix_of("joined"), "joined", "left")
+    seen = pairs
+    for name in ("joined", "compound", "piece"):
+        seen = seen.join(n_of(name), name, "left")
+    seen = seen.join(wrong.select(F.col("word").alias("joined"), F.col("fixed").alias("fix"), "at"), "joined", "left")
     n = lambda name: F.coalesce(f"n_{name}", F.lit(0))
     # a word of the corpus, or a misread one; a compound that the corpus writes with its hyphen keeps it
-    whole = (n("joined") + F.when(F.col("fix_joined").isNotNull() & (n("joined") == 0), 1).otherwise(0)) > n("compound")
-    seen = seen.withColumn("is_broken", whole | ((n("piece") > 0) & (F.instr("left", "-") > 0) & (n("compound") == 0)))
-    hyphens = pairs.join(seen.select("left", "right", "is_broken", "joined", "fix_joined", "at_joined"), ["left", "right"]).where("is_broken")
-    cols = ["origin", "record_id", "line_no", "kind", "word", "fixed"]
-    rows = hyphens.select("origin", "record_id", "line_no", F.lit("hyphen").alias("kind"), F.concat("left", F.lit("-"), "right").alias("word"), F.coalesce("fix_joined", "joined").alias("fixed"))
+    whole = (n("joined") + F.when(F.col("fix").isNotNull() & (n("joined") == 0), 1).otherwise(0)) > n("compound")
+    seen = seen.where(whole | ((n("piece") > 0) & (F.instr("left", "-") > 0) & (n("compound") == 0)))
+    entry = lambda kind, word, fixed, below: F.struct(F.lit(kind).alias("kind"), word.alias("word"), fixed.alias("fixed"), below.cast("int").alias("below"))
+    none, here = F.lit(None).cast("string"), F.lit(0)
     # of a broken word that is misread too, the line that holds the place
-    inner = hyphens.where(F.col("fix_joined").isNotNull()).select("origin", "record_id", (F.col("line_no") + (F.col("at_joined") >= F.length("left")).cast("int")).alias("line_no"), F.lit("char").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("fixed"))
-    # one pass over the tokens: misread words by the dictionary, numbers with letters, and
-    # letter-sign-letter tokens that no word of the corpus explains
-    whole_word = ~F.col("edge") & F.col("word").rlike(r"\p{L}")
-    looked = tokens.withColumn("key", F.when(whole_word, F.col("word"))).join(broadcast_if_small(wrong.select(F.col("word").alias("key"), "fixed"), DICTIONARY), "key", "left")
-    is_number = F.col("token").rlike(_NUMBER)
-    strange = whole_word & F.col("word").rlike(r"^[\p{L}'\-]*\p{L}[@+|]\p{L}[\p{L}'\-]*$")
-    chars = looked.where(F.col("fixed").isNotNull() | is_number | strange).select(
-        "origin", "record_id", "line_no", F.lit("char").alias("kind"),
-        F.when(F.col("fixed").isNull() & is_number, F.lower("token")).otherwise(F.col("word")).alias("word"),
-        F.when(F.col("fixed").isNull() & is_number, F.translate("token", "OolISB", "001158")).otherwise(F.col("fixed")).alias("fixed"),
-    )
-    inline = rows.union(inner).union(chars)
-    inline = inline.join(edges.select("origin", "record_id", "line_no"), ["origin", "record_id", "line_no"], "left_anti")
-    return inline.select(cols).union(edges.select("origin", "record_id", "line_no", "kind", F.lit(None).cast("string"), F.lit(None).cast("string"))).distinct()
+    inner = F.when(F.col("fix").isNotNull(), entry("char", none, none, F.col("at") >= F.length("left")))
+    broken = seen.select("token", F.array_compact(F.array(entry("hyphen", F.col("compound"), F.coalesce("fix", "joined"), here), inner)).alias("noise"))
+    # misread words by the dictionary, numbers with letters, and letter-sign-letter tokens that no word of the corpus explains
+    alone = typed.where("not pair").join(wrong.drop("at"), "word", "left").withColumn("own", F.ltrim("token", F.lit(CONTINUED)))
+    is_number = F.col("own").rlike(_NUMBER)
+    strange = F.coalesce(F.col("word").rlike(r"^[\p{L}'\-]*\p{L}[@+|]\p{L}[\p{L}'\-]*$"), F.lit(False))
+    as_number = F.col("fixed").isNull() & is_number
+    char = entry("char", F.when(as_number, F.lower("own")).otherwise(F.col("word")), F.when(as_number, F.translate("own", "OolISB", "001158")).otherwise(F.col("fixed")), here)
+    return broken.union(alone.where(F.col("fixed").isNotNull() | is_number | strange).select("token", F.array(char).alias("noise")))
+
+
+def find_noise(texts: DataFrame) -> DataFrame:
+    """origin, record_id, line_no, kind, word, fixed of each noisy line of texts(origin, record_id, page, whole, text).
+
+    Kinds: header (also footers), pageno, hyphen, char; the first two exclude the others.
+    Beside these, break marks the first line of each paragraph.  word and fixed tell what
+    was misread or broken, else they are null.  Null, empty and blank texts have no noise;
+    texts of any length are read whole; a repeated (origin, record_id) has the noise of each
+    of its texts, once.  A line of noise appears once per kind and word.
+    """
+    marked = cut(recurring_lines(texts))
+    labelled = cut(label_lines(texts, fit_lines(texts, marked), marked))
+    lines = labelled.select("origin", "record_id", F.posexplode(F.split("labels", "")).alias("i", "label"))
+    kind = F.when(F.col("label").isin("H", "F"), "header").when(F.col("label") == "P", "pageno").when(F.col("label") == "K", "break")
+    edges = lines.select("origin", "record_id", (F.col("i") + 1).alias("line_no"), kind.alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("fixed")).where("kind is not null")
+    tokens = line_tokens(texts)
+    # the tokens of all texts are read twice, to count them and to look them up; the rules meet the distinct ones
+    noisy = cut(noisy_tokens(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))))
+    hinted = broadcast_if_small(noisy, DICTIONARY)
+    looked = tokens.join(hinted, "token") if hinted is not noisy else join_dictionary(tokens, noisy, ["token"], "inner")
+    inline = looked.select("origin", "record_id", "line_no", F.explode("noise").alias("x")).select("origin", "record_id", (F.col("line_no") + F.col("x.below")).alias("line_no"), "x.kind", "x.word", "x.fixed")
+    inline = inline.join(edges.where("kind <> 'break'").select("origin", "record_id", "line_no"), ["origin", "record_id", "line_no"], "left_anti")
+    return inline.union(edges).distinct()
 
 
 def texts_of(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -386,14 +495,17 @@ def texts_of(pages: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def reassemble(text: str, noise: list[tuple[int, str, str | None, str | None]]) -> str:
-    """Continuous paragraphs of one text, from its noise (line_no, kind, word, fixed).
+    """Continuous paragraphs of one text, from its noise and breaks (line_no, kind, word, fixed).
 
     Headers and page numbers go; broken words are joined; misread words are mended, keeping
-    their case; a paragraph is one line, but lines of a table (wide gaps, leaders) stay.
+    their case; a paragraph is one line and begins where a break is, also if a blank line or
+    a page's end stands within it.  Lines of a table (wide gaps, leaders) stay.  Without any
+    break blank lines divide.
     """
     by: dict[int, list[tuple[str, str | None, str | None]]] = defaultdict(list)
     for no, kind, word, fixed in noise:
         by[no].append((kind, word, fixed))
+    labelled = any(kind == "break" for _, kind, _, _ in noise)
     paragraphs: list[list[str]] = [[]]
     glue = False
     for no, line in enumerate(text.split("\n"), 1):
@@ -402,19 +514,18 @@ def reassemble(text: str, noise: list[tuple[int, str, str | None, str | None]])
             continue
         s = line.strip()
         if not s:
-            if paragraphs[-1]:
+            if paragraphs[-1] and not labelled:
                 paragraphs.append([])
-            glue = False
+            glue = glue and labelled
             continue
         for kind, word, fixed in by[no]:
             if kind == "char" and word and fixed:
                 s = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m, f=fixed: f.upper() if m[0].isupper() and len(m[0]) > 1 else f.capitalize() if m[0][:1].isupper() else f, s, flags=re.I)
-        table = bool(re.search(r"\S(?: {3,}| \.{3,} )\S", s))
         if "hyphen" in kinds:
             s = s.rstrip(HYPHENS + " ")
         if glue and paragraphs[-1]:
             paragraphs[-1][-1] += s
-        elif table or (paragraphs[-1] and re.search(r"\S(?: {3,}| \.{3,} )\S", paragraphs[-1][-1])):
+        elif "break" in kinds or _TABLE.search(s) or (paragraphs[-1] and _TABLE.search(paragraphs[-1][-1])):
             paragraphs.append([s])
         else:
             paragraphs[-1].append(s)
