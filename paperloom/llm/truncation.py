@@ -1,14 +1,20 @@
 """Text cut off by field limits or in transfer (problem 9).
 
-Corpus statistics decide, all as group-bys: a vocabulary trie, kept as a table of its
-nodes, tells final tokens that are unknown proper prefixes of known words; trigrams tell
+Corpus statistics decide, all as group-bys over one tokenizing pass: a vocabulary trie, kept
+as a table of its nodes, tells final tokens that are unknown proper prefixes of known words;
+the lengths at which a source's texts pile up unfinished are its field limits; trigrams tell
 endings that the corpus leaves without a full stop as a habit (procedural formulas) from
-sentences broken in the middle; the lengths at which a source's texts pile up unfinished
-are its field limits.  Copies of a text count once in all of these.
+sentences broken in the middle.  One score weighs these together.  Copies of a text count
+once in all of these.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,52 +28,75 @@ FORMULA_SHARE = 0.3
 FREQUENT, RARELY = 20, 0.02
 #: A limit: so many texts at one length, so many times the mean of the hundred lengths around.
 PILE, PILE_RATIO = 8, 10.0
+#: Weights of the evidence, in favour of a cut where positive; a text is cut if they sum to more than nothing.
+WEIGHTS = {"mark": 7, "limit": 4, "prefix": 3, "open": 2}
+#: What a text starts from, and what a closing bracket or a dash takes, with which speakers break off.
+START, BROKEN_OFF = -1, -2
+#: Distinct pairs of words before texts' last ones up to which they are broadcast, eight bytes each.
+TWOS = 1_000_000
 #: Signs that a system puts for the lost rest; ellipses may also be the speaker's.
 LOST = r"\.\.\.|…|more|continued|cont\.|cont'd|truncated|cut|mehr|gekürzt|suite|más|sigue"
 BRACKETED = rf"(?i)[\[(]\s?(?:{LOST})\s?[\])]$"
 #: Titles that a name follows.
 TITLES = r"(?i)(?:^|[^\p{L}])(?:mr|mrs|ms|dr|prof|hr|fr|herr|frau|mme|sr|sra|st|nr|no|art|bzw|z\.b)\.$"
 
-_STOP = r"[.!?…][\"”“»’')\]]*(?=\s|$)"
+_CLOSERS = "\"”“»’')]"
+_STOP = rf"[.!?…][{re.escape(_CLOSERS)}]*(?=\s|$)"
+#: Signs between words, by rule: what is no letter, mark, number or sign inside of words.
+_BETWEEN = "".join(c for c in map(chr, range(0x3100)) if unicodedata.category(c)[0] not in "LMN" and c not in "'’-¶§#\ud800")
+_DIGITS = "".join(c for c in map(chr, range(0x3100)) if unicodedata.category(c)[0] == "N")
+#: Control characters and white space.
+_BLANKS = "".join(map(chr, [*range(33), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _end(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\s\p{Cc}\p{Zs}]+$", "")
+    return F.rtrim(c, F.lit(_BLANKS))
 
 
 def _tokens(c: Column) -> Column:
     """Lower-case tokens with digits as #, "¶" where a sentence stops, "§" where a line or the text just ends."""
-    s = F.regexp_replace(F.lower(c), r"[¶§#]", " ")
+    s = F.lower(c)
+    for own in "¶§#":
+        s = F.replace(s, F.lit(own), F.lit(" "))
     s = F.regexp_replace(s, _STOP, " ¶ ")
-    s = F.regexp_replace(s, r"\n|$", " § ")
-    s = F.regexp_replace(s, r"\p{N}+", "#")
-    s = F.regexp_replace(s, r"[^\p{L}\p{M}#¶§'’\-]+", " ")
-    s = F.regexp_replace(s, r"([¶§])[¶§ ]*", "$1 ")
-    s = F.regexp_replace(s, r"(?<![^ ])['’\-]+|['’\-]+(?![^ ])", "")
-    return F.filter(F.split(F.trim(s), " +"), lambda x: x != "")
+    s = F.concat(F.replace(s, F.lit("\n"), F.lit(" § ")), F.lit(" § "))
+    s = F.translate(s, _BETWEEN + _DIGITS, " " * len(_BETWEEN) + "#" * len(_DIGITS))
+    for _ in range(5):  # a run of up to 32 digits is one sign
+        s = F.replace(s, F.lit("##"), F.lit("#"))
+    # apostrophes and hyphens count inside of words only
+    for outer in ("--", " -", "- ", " '", "' ", " ’", "’ "):
+        s = F.replace(s, F.lit(outer), F.lit(" "))
+    return F.split(F.trim(F.regexp_replace(s, "([¶§])[¶§ ]+", "$1 ")), " +")
 
 
 def _is_word(x: Column) -> Column:
     return ~x.isin("¶", "§", "")
 
 
+def _words(tokens: Column) -> Column:
+    """The words among tokens (a column of its own, as it is used twice), each with the token that follows it."""
+    after = F.slice(F.concat(tokens, F.array(F.lit(""))), 2, 2**30)
+    return F.filter(F.zip_with(tokens, after, lambda w, x: F.struct(w.alias("word"), x.alias("next"))), lambda s: _is_word(s["word"]))
+
+
 def endings(docs: DataFrame) -> DataFrame:
     """Of each non-blank text: what its end looks like.  Expects id, source, text."""
-    end = _end(F.col("text"))
-    d = docs.where(F.col("text").isNotNull()).withColumn("end", end).where("end <> ''")
-    mark = F.regexp_extract("end", rf"(?i)(\s?[\[(]\s?(?:{LOST})\s?[\])]|\s?(?:\.\.\.|…))$", 1)
-    d = d.withColumn("mark", mark).withColumn("base", F.expr("left(text, length(end) - length(mark))"))
-    # the last three tokens as a column of its own, so that they are made once
-    d = d.withColumn("short", _tokens(F.expr("right(base, 400)")))
+    d = docs.where(F.col("text").isNotNull()).withColumn("end", _end(F.col("text"))).where("end <> ''")
+    # a mark is far shorter than what it is looked for in
+    mark = F.regexp_extract(F.expr("right(end, 80)"), rf"(?i)(\s?[\[(]\s?(?:{LOST})\s?[\])]|\s?(?:\.\.\.|…))$", 1)
+    d = d.withColumn("mark", mark).withColumn("base", F.expr("left(end, length(end) - length(mark))")).withColumn("near", F.expr("right(base, 40)"))
+    # the last words as a column of its own, so that they are made once
+    d = d.withColumn("t", _tokens(F.expr("right(base, 120)"))).withColumn("short", _words(F.col("t")))
     # the tail's first word may be a part: with fewer than four words the last three come from the whole text
-    d = d.withColumn("tokens", F.when((F.length("base") > 400) & (F.size(F.filter("short", _is_word)) < 4), _tokens(F.col("base"))).otherwise(F.col("short"))).withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.filter("tokens", _is_word)), -3, 3))
+    d = d.withColumn("all", F.when((F.length("base") > 120) & (F.size("short") < 4), _tokens(F.col("base"))).otherwise(F.col("t"))).withColumn("words", _words(F.col("all")))
+    d = d.withColumn("three", F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.col("words.word")), -3, 3))
+    # a tail of nothing but closing signs tells nothing about what is before them
+    tail = F.when((F.length("base") > 40) & (F.rtrim("near", F.lit(_CLOSERS + _BLANKS)) == ""), F.col("base")).otherwise(F.col("near"))
     # whole texts are counted below
     return d.select(
         "id", "source", "mark", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.length("base").alias("base_chars"), F.octet_length("base").alias("base_bytes"),
-        F.expr("right(base, 40)").alias("tail"), F.get("three", 2).alias("last"),
-        F.xxhash64(F.get("three", 0), F.get("three", 1), F.get("three", 2)).alias("gram"),
-        F.xxhash64(F.get("three", 0), F.get("three", 1)).alias("two"), (F.get("tokens", F.size("tokens") - 1) == "§").cast("int").alias("own"),
-        F.xxhash64("text").alias("same"), F.xxhash64("end").alias("body"),
+        tail.alias("tail"), F.get("three", 2).alias("last"), F.xxhash64(F.get("three", 0), F.get("three", 1), F.get("three", 2)).alias("gram"),
+        F.xxhash64(F.get("three", 0), F.get("three", 1)).alias("two"), F.coalesce(F.get("words", F.size("words") - 1)["next"] == "§", F.lit(False)).cast("int").alias("own"), F.xxhash64("end").alias("body"),
     )
 
 
@@ -81,28 +110,36 @@ def _shape(d: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, source, is_cut and evidence of every row.
+    """id, source, is_cut, evidence, signs and score of every row.
 
-    evidence: "mark" (a sign of the lost rest), "limit" (the length is one of the source's
+    signs: "mark" (a sign of the lost rest), "limit" (the length is one of the source's
     limits), "prefix" (the last token is an unknown proper prefix of known words), "open"
-    (the sentence goes on), or null.  Null, empty and blank texts are not cut, nor are
-    texts that end in a dash, an ellipsis or a bracketed interruption below the limit.
-    Repeated rows are judged alike, and as if there were no copies; a null source has its
-    own limits.  Whole texts count, of any length.  An empty table gives no rows.
+    (the sentence goes on).  score is the sum of their WEIGHTS and of what a text starts
+    from; a text is cut where it is positive, and evidence is then its heaviest sign, else
+    null.  Null, empty and blank texts are not cut, nor are texts that end in a dash, an
+    ellipsis or a bracketed interruption below the limit.  Repeated rows are judged alike,
+    and as if there were no copies; a null source has its own limits.  Whole texts count, of
+    any length.  An empty table gives no rows.
     """
     flat = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
     ends = cut(_shape(endings(flat)))
     single = ends.dropDuplicates(["body", "chars"])
-    # pass over all distinct texts: trigrams with what follows them
-    toks = flat.where("text is not null").select(_end(F.col("text")).alias("end")).distinct().select(_tokens(F.col("end")).alias("t"))
-    # one explode serves the trigrams and the words
-    # words without the signs between them, each with the sign that follows it; then three aligned copies side by side
-    marked = toks.select(F.filter(F.zip_with("t", F.slice(F.concat("t", F.array(F.lit(""))), 2, 2**30), lambda w, x: F.struct(w.alias("word"), x.alias("next"))), lambda s: _is_word(s["word"])).alias("w"))
-    before = lambda k: F.concat(F.array(*[F.lit("")] * k), F.col("w.word"))
-    lined = marked.select(F.explode(F.arrays_zip(F.col("w.word").alias("word"), F.col("w.next").alias("next"), F.slice(before(1), F.lit(1), F.size("w")).alias("b1"), F.slice(before(2), F.lit(1), F.size("w")).alias("b2"))).alias("g"))
-    grams = lined.select(F.xxhash64("g.b2", "g.b1", "g.word").alias("gram"), F.xxhash64("g.b2", "g.b1").alias("two"), F.col("g.word").alias("word"), F.col("g.next").alias("next"))
-    counted = cut(grams.groupBy("gram", "two", "word").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("next") == "¶", 1)).alias("n_stop"), F.count(F.when(F.col("next") == "§", 1)).alias("n_break")))
-    plain = counted.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "n_stop", "n_break")])
+    # the one pass over all texts: words, and of the trigrams those whose first two words come before some text's last.
+    # copies share one count, so the texts themselves need no shuffle
+    copies = ends.groupBy("body").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    whole = join_dictionary(flat.where("text is not null").select(_end(F.col("text")).alias("end")).where("end <> ''").withColumn("body", F.xxhash64("end")), copies, ["body"])
+    toks = whole.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), _tokens(F.col("end")).alias("t")).select("share", _words(F.col("t")).alias("w"))
+    before = lambda k: F.slice(F.concat(F.array(*[F.lit("")] * k), F.col("w.word")), F.lit(1), F.size("w"))
+    lined = toks.select("share", F.explode(F.arrays_zip(F.col("w.word").alias("word"), F.col("w.next").alias("next"), before(1).alias("b1"), before(2).alias("b2"))).alias("g"))
+    grams = lined.select("share", "g.word", "g.next", F.xxhash64("g.b2", "g.b1").alias("at"), F.xxhash64("g.b2", "g.b1", "g.word").alias("three"))
+    twos = cut(ends.select(F.col("two").alias("at")).distinct().withColumn("ends", F.lit(True)))
+    hinted = broadcast_if_small(twos, TWOS)
+    grams = grams.join(hinted, "at", "left") if hinted is not twos else join_dictionary(grams, twos, ["at"])
+    grams = grams.select("share", "word", "next", F.when(F.col("ends"), F.col("at")).alias("two"), F.when(F.col("ends"), F.col("three")).alias("gram"))
+    share = lambda c: F.round(F.sum(c), 3)
+    counted = grams.groupBy("word", "two", "gram").agg(share("share").alias("n"), share(F.when(F.col("next") == "¶", F.col("share")).otherwise(0.0)).alias("n_stop"), share(F.when(F.col("next") == "§", F.col("share")).otherwise(0.0)).alias("n_break"))
+    counted = cut(counted)
+    plain = counted.where("gram is not null").join(ends.select("gram").distinct(), "gram", "left_semi").select("gram", "n", "n_stop", "n_break")
     # longer words with the same two before them, cut to the lengths of the last words that occur there
     open_ends = single.where((F.col("shape") == "open") & (F.col("mark") == ""))
     sizes = open_ends.select("two", F.length("last").alias("size")).distinct().groupBy("two").agg(F.collect_list("size").alias("sizes"))
@@ -126,20 +163,22 @@ def detect(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         own = limits.where(F.col("kind") == kind).select(F.col("source").alias(f"s_{kind}"), F.col("size").alias(f"l_{kind}"))
         d = d.join(broadcast_if_small(own), F.col("source").eqNullSafe(F.col(f"s_{kind}")) & (F.col(f"base_{kind}") == F.col(f"l_{kind}")), "left")
     at_limit = F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()
-    verdict = (
-        F.when(F.col("shape") == "marked", "mark")
-        .when(at_limit & ~_formula(anywhere=True), F.when(F.col("mark") != "", "mark").otherwise("limit"))
-        .when(F.col("shape").isin("closed", "broken"), F.lit(None))
-        .when((F.col("shape") == "open") & F.coalesce("prefix", F.lit(False)) & F.col("tail").rlike(r"[\p{L}\p{M}]$"), "prefix")
-        .when((F.col("shape") == "open") & ~_formula(), "open")
-        .when((F.col("shape") == "stopped") & (F.col("n") >= FREQUENT) & (F.col("n_stop") < RARELY * F.col("n")), "open")
-    )
-    judged = d.select("id", verdict.alias("evidence"), "same").where("evidence is not null")
-    # back to all rows, also those without text: equal ids share a text's verdict only if their texts are equal
-    rows = flat.select("id", "source", F.xxhash64("text").alias("same"))
-    hits = judged.groupBy("id", "same").agg(F.min("evidence").alias("evidence"))
-    out = rows.join(hits, ["id", "same"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("evidence").isNotNull().alias("is_cut"), "evidence")
+    open_end = F.col("shape") == "open"
+    goes_on = (open_end & ~_formula()) | ((F.col("shape") == "stopped") & (F.col("n") >= FREQUENT) & (F.col("n_stop") < RARELY * F.col("n")))
+    limited = at_limit & ~_formula(anywhere=True)
+    given = {
+        "mark": (F.col("shape") == "marked") | (limited & (F.col("mark") != "")),
+        "limit": limited,
+        "prefix": open_end & F.coalesce("prefix", F.lit(False)) & F.col("tail").rlike(r"[\p{L}\p{M}]$"),
+        "open": goes_on,
+    }
+    signs = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in given.items()]))
+    score = START + reduce(add, [F.when(c, WEIGHTS[k]).otherwise(0) for k, c in given.items()]) + F.when(F.col("shape").isin("closed", "broken"), BROKEN_OFF).otherwise(0)
+    judged = d.select("id", "source", score.alias("score"), signs.alias("signs"))
+    blank = flat.where(F.coalesce(_end(F.col("text")), F.lit("")) == "").select("id", "source", F.lit(START).alias("score"), F.array().cast("array<string>").alias("signs"))
+    out = judged.union(blank)
+    is_cut = F.col("score") > 0
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), is_cut.alias("is_cut"), F.when(is_cut, F.get("signs", F.lit(0))).alias("evidence"), "signs", "score")
 
 
 def _formula(anywhere: bool = False) -> Column:
@@ -168,7 +207,10 @@ def field_limits(ends: DataFrame, by_gram: DataFrame) -> DataFrame:
 
 
 def rates(detected: DataFrame) -> DataFrame:
-    """source, n, n_cut, rate and the counts by evidence; a null source is one of its own."""
-    kinds = ("mark", "limit", "prefix", "open")
+    """source, n, n_cut, rate, and of the cut rows how many bear each sign; a null source is one of its own.
+
+    A row may bear several signs; n_open_only counts those that bear no other than "open".
+    """
     n, c = F.count(F.lit(1)), F.count(F.when(F.col("is_cut"), 1))
-    return detected.groupBy("source").agg(n.alias("n"), c.alias("n_cut"), (c / n).alias("rate"), *[F.count(F.when(F.col("evidence") == k, 1)).alias(f"n_{k}") for k in kinds])
+    bears = [F.count(F.when(F.col("is_cut") & F.array_contains("signs", k), 1)).alias(f"n_{k}") for k in WEIGHTS]
+    return detected.groupBy("source").agg(n.alias("n"), c.alias("n_cut"), (c / n).alias("rate"), *bears, F.count(F.when(F.col("evidence") == "open", 1)).alias("n_open_only"))
