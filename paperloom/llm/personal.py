@@ -2,8 +2,9 @@
 
 Patterns propose spans; regex, gazetteer and context labelers vote on each.  An
 expectation-maximization over the few distinct vote patterns estimates how reliable each
-labeler is, and its posteriors train a logistic span classifier that decides.  The
-gazetteer comes from the name fields of the data and reaches the texts by a join.
+labeler is, and its posteriors train a logistic span classifier that decides; it also
+learns which words stand around mentions.  The gazetteer comes from the name fields of the
+data.  If its size is proven small it goes to the workers, else it reaches the texts by a join.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.common import broadcast_if_small, cut
+from paperloom.common import cut, join_dictionary
 from paperloom.functions import keys as K
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
-#: Spans on which the classifier is trained, at most; all spans are classified.
+#: Spans on which the classifier is trained, in expectation; all spans are classified.
 SAMPLE = 20_000
+#: Words of the gazetteer up to which it goes to the workers; each is under 80 characters.
+PARTS = 200_000
+#: What is believed of labelers before any counts, as shares of silence, votes for and votes
+#: against where the span is not personal and where it is, and its weight in spans a span.
+BELIEF, WEIGHT = ((0.50, 0.10, 0.40), (0.50, 0.45, 0.05)), 0.5
 #: Hashed features beside the votes; steps and rate of the training.
 BUCKETS, STEPS, RATE = 1 << 11, 300, 0.5
 
@@ -53,20 +59,20 @@ _TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Sir Hon MR MRS MS DR".split())
 _START = re.compile(rf"^{_TITLE}\.?\s+")
 _FOLD = str.maketrans({"1": "l", "0": "o", "5": "s", "@": "a", "+": "t", "é": "e", "6": "b", "9": "g"})
 
-#: Labelers of each kind, in the order of their votes.
+#: Common captions before a mention, and what may follow one; the classifier learns further words.
 _BEFORE = {
-    "EMAIL": re.compile(r"(?:to|<|margin:|mail:?|at|write|:)\s*$"),
-    "PHONE": re.compile(r"(?:call|telephone|tel\.?|phone|number|reached at|fax|\bat|mobile)\W*$"),
+    "EMAIL": re.compile(r"(?:to|<|mail:?|at|write|contact|:)\s*$"),
+    "PHONE": re.compile(r"(?:call|telephone|tel\.?|phone|number|reached at|fax|\bat|mobile|cell)\W*$"),
     "ID": re.compile(r"(?:ssn|s\.s\.n|social security|soc\. ?sec|tax|tin|itin|ein|id|passport|licen[cs]e|document|dl|driver)(?:\W|no|number|num|id|#|nr){0,8}$"),
-    "ADDRESS": re.compile(r"(?:address:?|at|to|residing at|mailed to|premises at)\s*$"),
-    "NAME": re.compile(r"(?:by|borrower:?|co-signer,|signer,|inquiries:|appraiser|contact|listed as|witnessed by .{3,40} and|applicant:?|attn:?|name|reads|as|is|show|gives|of)\s*$"),
+    "ADDRESS": re.compile(r"(?:address:?|at|to|residing at|mailed to|located at)\s*$"),
+    "NAME": re.compile(r"(?:by|borrower:?|signer,?|inquiries:|appraiser|contact|applicant:?|attn:?|name:?)\s*$"),
 }
 _AFTER = {
-    "EMAIL": re.compile(r"^\W*(?:$|on|before|with|\.|/|tel|>)"),
-    "PHONE": re.compile(r"^\W*(?:$|before|next|for|or|ext|\.)"),
-    "ID": re.compile(r"^\W*(?:$|at the counter|shown|[A-Z])"),
-    "ADDRESS": re.compile(r"^\W*(?:$|until|were|,|initialled|\.|[A-Z])"),
-    "NAME": re.compile(r"^(?:,? ?(?:telephone|presented|who may|confirmed|residing|notary|sheet)| <| at [+(\d]| and | in the presence| at the top|\.|$)"),
+    "EMAIL": re.compile(r"^\W*(?:$|\.|/|tel|>)"),
+    "PHONE": re.compile(r"^\W*(?:$|or|ext|\.)"),
+    "ID": re.compile(r"^\W*(?:$|[A-Z])"),
+    "ADDRESS": re.compile(r"^\W*(?:$|,|\.|[A-Z])"),
+    "NAME": re.compile(r"^(?:,? ?(?:telephone|phone|e-?mail)| <| and |\.|$)"),
 }
 _AGAINST = re.compile(r"(?:loan n\S*|\bln-|account|reference|file(?: ref\S*)?|nmls|ref\.?|form|section|doctrack|order|invoice)\W*$")
 
@@ -77,7 +83,11 @@ def _fold(s: str) -> str:
 
 
 def name_parts(names: DataFrame, column: str) -> DataFrame:
-    """part, n_first, n_last of the words of persons' names ("First M. Last", "Last, First", "Mr. Last")."""
+    """part, n_first, n_last of the words of persons' names ("First M. Last", "Last, First", "Mr. Last").
+
+    Values of 80 characters or more are no names, and a word that only one value has is left
+    out: misread names would bring words that no person bears.
+    """
     s = F.regexp_replace(K.strip(F.col(column)), rf"^{_TITLE}\.?\s+", "")
     s = F.regexp_replace(s, r"(?<=[\s,])[A-Z]\.?(?=\s|$)|^[A-Z]\.\s+", " ")
     s = F.regexp_replace(K.strip(s), r"\s+", " ")
@@ -191,20 +201,26 @@ _SPAN = "origin string, record_id bigint, kind string, start_pos int, end_pos in
 
 def spans(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """Proposed spans of texts(origin, record_id, text), with votes; positions from 1 in characters."""
-    kept = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", "text", F.xxhash64("text").alias("same"))
-    # words that start in upper case, folded as the gazetteer is, joined to it; a text has few of them
-    caps = F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace("text", r"[-‐­¬]\n", ""), F.lit(r"[A-Z][\p{L}0-9@+'’]+"), F.lit(0)), lambda w: F.lower(F.translate(w, "105@+é69", "losatebg"))))
-    words = kept.select("origin", "record_id", "same", F.explode(caps).alias("part"))
-    found = words.join(broadcast_if_small(parts), "part").groupBy("origin", "record_id", "same").agg(F.collect_set(F.when(F.col("n_first") > 0, F.col("part"))).alias("first"), F.collect_set(F.when(F.col("n_last") > 0, F.col("part"))).alias("last"))
+    kept = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("origin", "record_id", "text")
+    known = parts.limit(PARTS + 1).collect()
+    small = texts.sparkSession.sparkContext.broadcast((frozenset(r.part for r in known if r.n_first > 0), frozenset(r.part for r in known if r.n_last > 0))) if len(known) <= PARTS else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for o, r, t, f, la in zip(p["origin"], p["record_id"], p["text"], p["first"], p["last"], strict=True):
-                for kind, a, b, votes, hashed in propose(t, set() if f is None else set(f), set() if la is None else set(la)):
+            own = [small.value] * len(p) if small else [(set() if f is None else set(f), set() if la is None else set(la)) for f, la in zip(p["first"], p["last"], strict=True)]
+            for o, r, t, (first, last) in zip(p["origin"], p["record_id"], p["text"], own, strict=True):
+                for kind, a, b, votes, hashed in propose(t, first, last):
                     out.append((o, r, kind, a + 1, b + 1, votes, hashed))
             yield pd.DataFrame(out, columns=["origin", "record_id", "kind", "start_pos", "end_pos", "votes", "hashed"])
 
+    if small:
+        return kept.mapInPandas(run, _SPAN)
+    # words that start in upper case, folded as the gazetteer is, joined to it; a text has few of them
+    kept = kept.withColumn("same", F.xxhash64("text"))
+    caps = F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_replace("text", r"[-‐­¬]\n", ""), F.lit(r"[A-Z][\p{L}0-9@+'’]+"), F.lit(0)), lambda w: F.lower(F.translate(w, "105@+é69", "losatebg"))))
+    words = kept.select("origin", "record_id", "same", F.explode(caps).alias("part"))
+    found = join_dictionary(words, parts, ["part"], "inner").groupBy("origin", "record_id", "same").agg(F.collect_set(F.when(F.col("n_first") > 0, F.col("part"))).alias("first"), F.collect_set(F.when(F.col("n_last") > 0, F.col("part"))).alias("last"))
     return kept.join(found, ["origin", "record_id", "same"], "left").select("origin", "record_id", "text", "first", "last").mapInPandas(run, _SPAN)
 
 
@@ -212,7 +228,8 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 50) -> dic
     """Posterior of each (kind, vote pattern) by EM on its counts.
 
     A labeler says "+", "-" or nothing with a probability that depends on whether the span
-    is personal; starts assume that votes are mostly right.
+    is personal.  These have Dirichlet priors of BELIEF, as heavy as WEIGHT times the spans:
+    votes are believed to be mostly right, but enough counts turn that round.
     """
     out: dict[tuple[str, str], float] = {}
     for kind in sorted({k for k, _, _ in patterns}):
@@ -226,13 +243,9 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 50) -> dic
             prior = np.clip((w.sum(axis=1) + 1) / (n.sum() + 2), 0.05, 0.95)
             log = np.log(prior)[:, None] + np.zeros((2, len(rows)))
             for j in range(labelers):
-                table = np.stack([np.bincount(x[:, j], weights=w[y], minlength=3) for y in (0, 1)])
-                # votes against are believed to be right more often than not, and votes for too
-                table += np.array([[1.0, 0.2, 2.0], [1.0, 2.0, 0.2]])
+                table = np.stack([np.bincount(x[:, j], weights=w[y], minlength=3) for y in (0, 1)]) + np.array(BELIEF) * (WEIGHT * n.sum() + 1)
                 share = np.log(table / table.sum(axis=1, keepdims=True))
-                # a vote never counts against its own direction, and silence for little
-                ratio = np.clip(share[1] - share[0], [-1.0, 0.3, -6.0], [0.5, 6.0, -0.3])
-                log[1] += ratio[x[:, j]]
+                log += share[:, x[:, j]]
             new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
             if np.abs(new - p).max() < 1e-6:
                 break
@@ -279,7 +292,9 @@ def find_personal(texts: DataFrame, parts: DataFrame) -> DataFrame:
     proposed = cut(spans(texts, parts))
     counts = proposed.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most three to the number of labelers for each kind
     posterior = reliabilities([(r.kind, r.votes, r.n) for r in counts])
-    sample = proposed.select("kind", "votes", "hashed", F.xxhash64("origin", "record_id", "start_pos").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    # chosen by hash from counted spans: no more than twice SAMPLE rows reach the driver, whatever the number of tasks
+    total = max(sum(r.n for r in counts), 1)
+    sample = proposed.where(F.pmod(F.xxhash64("origin", "record_id", "start_pos"), F.lit(total)) < SAMPLE).select("kind", "votes", "hashed").limit(2 * SAMPLE).collect()
     model = fit_classifier([(r.kind, r.votes, list(r.hashed)) for r in sample], posterior)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
