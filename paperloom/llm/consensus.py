@@ -1,26 +1,32 @@
 """Consensus from several annotators' labels (problem 3).
 
-A mean-field variational confusion model: Dirichlet priors on the classes and on the
-rows of each annotator's confusion matrix, digamma updates.  Every step is a group-by
-over the answers; the only state between rounds is one row per annotator.
+A mean-field variational confusion model: Dirichlet priors on the classes and on the rows of
+each annotator's confusion matrix, digamma updates.  The answers are shuffled once and packed
+by item; a round is one scan of them, in which each task sums its expected confusion counts
+before these are grouped by cell.  The only state between rounds is one matrix an annotator.
+With more annotators than the driver should hold, rounds are joins and group-bys instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.common import broadcast_if_small, cut
+from paperloom.common import broadcast_if_small, cut, join_dictionary
 from paperloom.functions import keys as K
 
 ROUNDS, TOLERANCE = 25, 5e-4
 #: Dirichlet priors: classes; right and wrong answers of an annotator.
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 1.0, 3.0, 1.0
+#: Cells of all confusion matrices up to which the driver and each worker hold them, eight bytes each.
+MAX_CELLS = 1_000_000
 
 
 def digamma(x: Column) -> Column:
@@ -58,26 +64,112 @@ def fit(answers: DataFrame, items: DataFrame, labels: Sequence[str], rounds: int
     """
     size = len(labels)
     code = reduce(lambda c, i: c.when(F.col("label") == labels[i], i), range(size), F.when(F.lit(False), 0))
-    given = cut(answers.select("item", "annotator", code.alias("l")).where("l is not null and item is not null and annotator is not null"))
-    # majority vote with half a vote added for each label starts the posteriors
+    given = answers.select("item", "annotator", code.alias("l")).where("l is not null and item is not null and annotator is not null")
+    most = MAX_CELLS // (size * size)
+    names = [r.annotator for r in given.select("annotator").distinct().limit(most + 1).collect()]
+    run = _packed_rounds if len(names) <= most else _joined_rounds
+    q, params, masses, done = run(given, sorted(names), size, max(1, rounds), tolerance)
+    out = items.select("item").where("item is not null").distinct().join(q, "item", "left")
+    base = [m / sum(masses) for m in masses]
+    post = [F.coalesce(F.col(f"q{k}"), F.lit(base[k])) for k in range(size)]
+    best = reduce(lambda c, k: c.when(reduce(lambda a, b: a & b, [post[k] >= p for p in post]), F.lit(labels[k])), range(size), F.when(F.lit(False), F.lit("")))
+    result = out.select("item", *[post[k].alias(f"p{k}") for k in range(size)], best.alias("label"))
+    return Consensus(result, _reliability(params, size, base), done)
+
+
+#: Posteriors of the items, counts of the annotators, class masses, rounds.
+Rounds = tuple[DataFrame, DataFrame, list[float], int]
+
+
+def _packed_rounds(given: DataFrame, names: list, size: int, rounds: int, tolerance: float) -> Rounds:
+    """Rounds as scans of the items, each with its answers in an array, at most one of each annotator."""
+    spark, kind = given.sparkSession, given.schema["annotator"].dataType.simpleString()
+    index = spark.createDataFrame([(a, i) for i, a in enumerate(names)], f"annotator {kind}, a int")
+    coded = given.join(F.broadcast(index), "annotator").select("item", (F.col("a") * size + F.col("l")).alias("x"))
+    packed = cut(coded.groupBy("item").agg(F.collect_list("x").alias("said")))
+    item = packed.schema["item"].dataType.simpleString()
+    many = len(names)
+
+    def posteriors(said: pa.ListArray, logs: np.ndarray | None, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = said.value_lengths().to_numpy(zero_copy_only=False)
+        at, x = np.repeat(np.arange(len(n)), n), said.flatten().to_numpy(zero_copy_only=False)
+        if logs is None:  # majority vote with half a vote added for each label starts the posteriors
+            votes = np.bincount(at * size + x % size, minlength=len(n) * size).reshape(-1, size) + 0.5
+            return votes / votes.sum(axis=1, keepdims=True), at, x
+        score = np.stack([np.bincount(at, weights=logs[x // size, k, x % size], minlength=len(n)) for k in range(size)], axis=1) + prior
+        soft = np.exp(score - score.max(axis=1, keepdims=True))
+        return soft / soft.sum(axis=1, keepdims=True), at, x
+
+    def counted(logs: np.ndarray | None, prior: np.ndarray) -> np.ndarray:
+        """Expected counts by annotator, true and given label, and below them the class masses."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(many * size * size + size)
+            for batch in batches:
+                q, at, x = posteriors(batch.column("said"), logs, prior)
+                for k in range(size):
+                    own = np.bincount(x, weights=q[at, k], minlength=many * size).reshape(many, size)
+                    total[: many * size * size].reshape(many, size, size)[:, k, :] += own
+                total[many * size * size :] += q.sum(axis=0)
+            cells = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "x"])
+
+        total = np.zeros(many * size * size + size)
+        # as many rows as there are cells
+        for r in packed.select("said").mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+            total[r.cell] = r.x
+        return total
+
+    logs, prior, before, n, masses, done = None, np.zeros(size), None, None, None, 0
+    for _ in range(rounds):
+        done += 1
+        total = counted(logs, prior)
+        n, masses = total[:-size].reshape(many, size, size), total[-size:] + PRIOR_CLASS
+        rows = n + PRIOR_WRONG + (PRIOR_RIGHT - PRIOR_WRONG) * np.eye(size)
+        logs, prior = _psi(rows) - _psi(rows.sum(axis=2, keepdims=True)), _psi(masses) - _psi(masses.sum())
+        stat = n.sum(axis=0)
+        if before is not None and np.abs(stat - before).max() <= tolerance * masses.sum():
+            break
+        before = stat
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = posteriors(batch.column("said"), logs, prior)[0]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), *(pa.array(np.ascontiguousarray(q[:, k])) for k in range(size))], names=["item", *(f"q{k}" for k in range(size))])
+
+    q = packed.mapInArrow(final, ", ".join([f"item {item}", *(f"q{k} double" for k in range(size))]))
+    cols = ", ".join([f"annotator {kind}", "n bigint", *(f"n{k}{m} double" for k in range(size) for m in range(size))])
+    params = spark.createDataFrame([(a, int(round(x.sum())), *map(float, x.ravel())) for a, x in zip(names, n, strict=True)], cols)
+    return q, params, [float(m) for m in masses], done
+
+
+def _psi(x: np.ndarray) -> np.ndarray:
+    """digamma of an array, by the same series as of a column."""
+    y = x + 6
+    z = 1 / (y * y)
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - sum(1 / (x + i) for i in range(6))
+
+
+def _joined_rounds(given: DataFrame, _: list, size: int, rounds: int, tolerance: float) -> Rounds:
+    """Rounds as group-bys of the answers; an annotator of very many answers is spread by join_dictionary."""
+    given = cut(given)
     votes = given.groupBy("item").agg(*[F.count(F.when(F.col("l") == k, 1)).alias(f"v{k}") for k in range(size)])
     total = reduce(add, [F.col(f"v{k}") for k in range(size)]) + 0.5 * size
     q = votes.select("item", *[((F.col(f"v{k}") + 0.5) / total).alias(f"q{k}") for k in range(size)])
-    done, before, params = 0, None, None
-    for _ in range(max(1, rounds)):
+    done, before, params, masses = 0, None, None, []
+    for _round in range(rounds):
         done += 1
-        counts = given.join(q, "item").groupBy("annotator").agg(
+        params = cut(given.join(q, "item").groupBy("annotator").agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(F.when(F.col("l") == m, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}{m}") for k in range(size) for m in range(size)],
-        )
-        params = cut(counts)
+        ))
         rows = {f"a{k}{m}": F.col(f"n{k}{m}") + (PRIOR_RIGHT if k == m else PRIOR_WRONG) for k in range(size) for m in range(size)}
         logs = params.select("annotator", *[(digamma(rows[f"a{k}{m}"]) - digamma(reduce(add, [rows[f"a{k}{j}"] for j in range(size)]))).alias(f"e{k}{m}") for k in range(size) for m in range(size)])
         # class sizes: how many items lean to each label, from the posteriors that made the counts
         mass = q.agg(*[F.sum(f"q{k}").alias(f"m{k}") for k in range(size)]).first()
         masses = [(mass[f"m{k}"] or 0.0) + PRIOR_CLASS for k in range(size)]
-        prior = _log_prior(masses)
-        said = given.join(broadcast_if_small(logs), "annotator")
+        prior = (_psi(np.array(masses)) - _psi(np.array(sum(masses)))).tolist()
+        said = join_dictionary(given, logs, ["annotator"], "inner")
         score = said.groupBy("item").agg(*[(F.sum(_pick(k, size)) + prior[k]).alias(f"s{k}") for k in range(size)])
         top = F.greatest(*[F.col(f"s{k}") for k in range(size)]) if size > 1 else F.col("s0")
         soft = [F.exp(F.col(f"s{k}") - top) for k in range(size)]
@@ -87,30 +179,13 @@ def fit(answers: DataFrame, items: DataFrame, labels: Sequence[str], rounds: int
         before = stat
         if moved is not None and moved <= tolerance * sum(masses):
             break
-    out = items.select("item").where("item is not null").distinct().join(q, "item", "left")
-    base = [m / sum(masses) for m in masses]
-    post = [F.coalesce(F.col(f"q{k}"), F.lit(base[k])) for k in range(size)]
-    best = reduce(lambda c, k: c.when(reduce(lambda a, b: a & b, [post[k] >= p for p in post]), F.lit(labels[k])), range(size), F.when(F.lit(False), F.lit("")))
-    result = out.select("item", *[post[k].alias(f"p{k}") for k in range(size)], best.alias("label"))
-    return Consensus(result, _reliability(params, size, base), done)
+    return q, params, masses, done
 
 
 def _pick(k: int, size: int) -> Column:
     return reduce(lambda c, m: c.when(F.col("l") == m, F.col(f"e{k}{m}")), range(size), F.when(F.lit(False), F.lit(0.0)))
 
 
-def _log_prior(masses: list[float]) -> list[float]:
-    """E[log class share] of a Dirichlet; a few numbers, by the same series as the columns."""
-    from math import log
-
-    def psi(x: float) -> float:
-        y = x + 6
-        z = 1 / (y * y)
-        return log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - sum(1 / (x + i) for i in range(6))
-
-    return [psi(m) - psi(sum(masses)) for m in masses]
-
-
 def _reliability(params: DataFrame, size: int, base: list[float]) -> DataFrame:
     """Posterior of each annotator's rate of right answers, with 95 % intervals.
 
@@ -142,7 +217,7 @@ def agreement(answers: DataFrame) -> DataFrame:
     observed = items.agg(F.count(F.lit(1)).alias("n_items"), F.sum("m").alias("n_values"), F.sum((F.col("m") * F.col("m") - F.col("ss")) / (F.col("m") - 1)).alias("d_o"))
     totals = per.join(items.select("item"), "item").groupBy("label").agg(F.sum("n").alias("n_c"))
     expected = totals.agg(F.sum("n_c").alias("n_all"), F.sum(F.col("n_c").cast("double") * F.col("n_c")).alias("s_c"))
-    both = observed.join(expected, F.lit(True), "inner")
+    both = observed.join(F.broadcast(expected), F.lit(True), "inner")  # one row each
     n = F.col("n_values")
     d_o, d_e = F.col("d_o") / n, (n.cast("double") * n - F.col("s_c")) / (n * (n - 1))
     alpha = F.when(n.isNull(), None).when(d_e == 0, F.lit(1.0)).otherwise(1 - d_o / d_e)
