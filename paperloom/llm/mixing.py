@@ -8,7 +8,7 @@ and a larger budget always keeps what a smaller one had.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from paperloom.common import cut, table
@@ -54,18 +54,15 @@ def thresholds(sized: DataFrame, budgets: list[dict]) -> dict[str, int]:
         inside = sized.join(bounds, "source")
         if level:
             inside = inside.where(F.shiftrightunsigned(F.col("h"), 64 - BITS * level) == F.col("prefix"))
-        histogram = inside.groupBy("source", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n")).collect()
-        by: dict[str, dict[int, int]] = {s: {} for s in left}
-        for r in histogram:
-            by[r.source][r.b] = r.n
-        for s, counts in by.items():
-            # the first bucket that the rest of the budget doesn't cover; all are covered only if rounding left a token
-            boundary = 1 << BITS
-            for b in sorted(counts):
-                if counts[b] > left[s]:
-                    boundary = b
-                    break
-                left[s] -= counts[b]
+        histogram = inside.groupBy("source", "budget", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n"))
+        # the first bucket that the rest of the budget doesn't cover; all are covered only if rounding left a token
+        running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
+        covered = F.col("upto") <= F.col("budget")
+        ends = running.groupBy("source").agg(F.min(F.when(~covered, F.col("b"))).alias("b"), F.sum(F.when(covered, F.col("n")).otherwise(0)).alias("n")).collect()  # a row a source
+        by = {r.source: r for r in ends}
+        for s in list(left):
+            boundary = by[s].b if s in by and by[s].b is not None else 1 << BITS
+            left[s] -= by[s].n if s in by else 0
             prefix[s] = (prefix[s] << BITS) + boundary
             if boundary == 1 << BITS:  # everything under this prefix fits
                 prefix[s] <<= BITS * (LEVELS - 1 - level)
@@ -107,20 +104,14 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col:
         plan.drop("whole", "under")
         .join(got, "source", "left")
         .na.fill(0, ["used_tokens", "used_documents", "max_copies"])
-        .withColumn("total", F.sum("used_tokens").over(_everything()))
+        # one window over the report, of at most MAX_SOURCES rows
+        .withColumn("total", F.sum("used_tokens").over(Window.partitionBy()))
         .withColumn("actual_share", F.when(F.col("total") > 0, F.col("used_tokens") / F.col("total")).otherwise(F.lit(0.0)))
         .drop("total")
     )
     return chosen, report
 
 
-def _everything():  # noqa: ANN202
-    """All rows of the report, of which there are at most MAX_SOURCES."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def p8_mix(spark, sf_dir):  # noqa: ANN001, ANN201
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
