@@ -5,7 +5,8 @@ First pass: each partition reduces its JSON texts to the edges of the schema gra
 them.  The driver analyses the graph, whose size follows the number of labels and not
 the data: elements that occur once under one parent are inlined; repeated, shared and
 recursive elements get tables.  Second pass: each text is walked once and yields its
-records with keys of their parents.  Neither pass shuffles the texts.
+records with keys of their parents.  Neither pass shuffles the texts.  One pass gives the
+records of all tables; Shredded.store() writes them all at once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -65,6 +66,11 @@ def _opened(value: Any) -> Any:
     return value
 
 
+def _kind(value: Any) -> str:
+    """Name of a scalar's type; a whole number that no bigint holds is a text."""
+    return "str" if isinstance(value, int) and not -(2**63) <= value < 2**63 else type(value).__name__
+
+
 def _looks_keyed(obj: dict) -> bool | None:
     """Whether an object's keys are data: several entries, all objects of a shape.  None: can't tell."""
     entries = [x for x in obj.values() if x is not None]
@@ -114,9 +120,9 @@ class _Edges:
                 if isinstance(x, dict):
                     self.record(key, x, "list", depth + 1)
                 elif x is not None:
-                    self.add(key, "value", f"{type(x).__name__}:list")
+                    self.add(key, "value", f"{_kind(x)}:list")
         else:
-            self.add(label, key, f"{type(value).__name__}:{via}")
+            self.add(label, key, f"{_kind(value)}:{via}")
 
 
 @dataclass
@@ -126,6 +132,7 @@ class Layout:
     tables: set[str] = field(default_factory=set)
     keyed: set[str] = field(default_factory=set)
     key_attribute: dict[str, str] = field(default_factory=dict)
+    #: by table and path of an attribute below the table's records (parts divided by "/") its type
     columns: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
@@ -184,9 +191,9 @@ def analyse(edges: list[tuple[str, str, str, int, int]]) -> Layout:
             if ":" in form:
                 kind = form.split(":")[0]
                 if kind != "null" and child not in tables:
-                    into[prefix + child].add(kind)
+                    into[prefix + _escaped(child)].add(kind)
             elif child not in tables and child not in seen:
-                columns(child, f"{prefix}{child}_", into, seen | {child})
+                columns(child, f"{prefix}{_escaped(child)}/", into, seen | {child})
 
     for label in {ROOT, *tables}:
         into: dict[str, set[str]] = defaultdict(set)
@@ -201,32 +208,67 @@ def _text(value: Any) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-class _Walker:
-    """Records of one text: (table, parent's table, parent's row, row, parent's key, key, attributes)."""
+def _escaped(name: str) -> str:
+    """A name as one part of a path, so that a key "a/b" is not b inside of a."""
+    return name.replace("~", "~0").replace("/", "~1") if "~" in name or "/" in name else name
 
-    def __init__(self, layout: Layout) -> None:
-        self.layout = layout
-        self.out: list[tuple[str, str | None, str | None, str, str, str, list[tuple[str, str | None]]]] = []
+
+class _Walker:
+    """Records of texts as columns: table, parent's key, key and, unless only keys are wanted, parent's table and row, row, attributes."""
+
+    def __init__(self, layout: Layout, wanted: frozenset[str] | None = None) -> None:
+        self.layout, self.wanted = layout, wanted
+        self.table: list[str] = []
+        self.up_key: list[str] = []
+        self.key: list[str] = []
+        self.up_table: list[str | None] = []
+        self.up_row: list[str | None] = []
+        self.row: list[str] = []
+        #: where each record's attributes begin, and all of them one after another
+        self.starts: list[int] = []
+        self.names: list[str] = []
+        self.values: list[str | None] = []
+
+    def undo(self, n: int) -> None:
+        """Forget what came after the first ``n`` records."""
+        if n < len(self.starts):
+            del self.names[self.starts[n] :], self.values[self.starts[n] :]
+        for c in (self.table, self.up_key, self.key, self.up_table, self.up_row, self.row, self.starts):
+            del c[n:]
 
     def record(self, label: str, up: tuple[str | None, str | None, str], row: str, key: str, value: Any) -> None:
-        attributes: list[tuple[str, str | None]] = []
-        self.out.append((label, up[0], up[1], row, up[2], key, attributes))
+        if self.wanted is None or label in self.wanted:
+            self.table.append(label)
+            self.up_key.append(up[2])
+            self.key.append(key)
+        later: list[tuple[str, Any, tuple[str, ...]]] = []
+        if self.wanted is None:
+            self.up_table.append(up[0])
+            self.up_row.append(up[1])
+            self.row.append(row)
+            self.starts.append(len(self.names))
+            if not isinstance(value, dict | list):
+                self.names.append("value")
+                self.values.append(_text(value))
         if isinstance(value, dict):
-            self.visit(label, row, key, value, (), attributes)
+            self.visit(value, (), later)
         elif isinstance(value, list):  # a list straight in a list: records below this one
-            self.children(label, label, row, key, value, ())
-        else:
-            attributes.append(("value", _text(value)))
+            later.append((label, value, ()))
+        # a record's own attributes stand together, so its children come after them
+        for name, x, path in later:
+            self.children(name, label, row, key, x, path)
 
-    def visit(self, label: str, row: str, key: str, obj: dict, path: tuple[str, ...], attributes: list[tuple[str, str | None]]) -> None:
+    def visit(self, obj: dict, path: tuple[str, ...], later: list[tuple[str, Any, tuple[str, ...]]]) -> None:
+        tables, full = self.layout.tables, self.wanted is None
         for name, raw in obj.items():
             value = _opened(raw)
-            if name in self.layout.tables:
-                self.children(name, label, row, key, value, path)
+            if name in tables:
+                later.append((name, value, path))
             elif isinstance(value, dict):
-                self.visit(label, row, key, value, (*path, name), attributes)
-            else:
-                attributes.append(("_".join((*path, name)), _text(value)))
+                self.visit(value, (*path, name), later)
+            elif full:
+                self.names.append("/".join(map(_escaped, (*path, name))) if path else _escaped(name))
+                self.values.append(_text(value))
 
     def children(self, name: str, label: str, row: str, key: str, value: Any, path: tuple[str, ...]) -> None:
         """Null entries are no records but keep their position; a lone value has position 0.
@@ -246,32 +288,43 @@ class _Walker:
             if x is None:
                 continue
             k = x[own] if own and isinstance(x, dict) and isinstance(x.get(own), str) else at
-            self.record(name, (label, row, "" if label == ROOT else key), "/".join((row, *path, f"{name}[{at}]")), k, x)
+            below = "/".join((row, *path, f"{name}[{at}]")) if self.wanted is None else ""
+            self.record(name, (label, row, "" if label == ROOT else key), below, k, x)
 
 
 @dataclass
 class Shredded:
     layout: Layout
-    #: doc_key, child, parent, parent_row, row, parent_key, child_key, attributes
+    #: doc_key, doc_row, child, parent, parent_row, row, parent_key, child_key, attributes
     records: DataFrame
+    #: doc_key, child, parent_key, child_key of the given tables, by a walk that makes nothing else
+    keys: Callable[[Collection[str]], DataFrame]
 
     def table(self, label: str) -> DataFrame:
-        """One flat table: doc_key, row, parent, parent_row, parent_key, child_key and its columns.
+        """One flat table: doc_key, doc_row, row, parent, parent_row, parent_key, child_key and its columns.
 
-        A column whose name clashes with one of these (case does not count) gets the
-        label before it.  (parent, parent_row) refers to row of that parent's table;
-        the root's table is "$".
+        A column is named by its path with underscores; if that name is taken (case does not
+        count), the label goes before it, so no value is lost.  doc_row tells source rows of
+        one doc_key apart; it follows the order of files and rows.  (doc_row, parent,
+        parent_row) refers to doc_row and row of that parent's table; the root's table is "$".
         """
-        own = ["doc_key", "row", "parent", "parent_row", "parent_key", "child_key"]
+        own = ["doc_key", "doc_row", "row", "parent", "parent_row", "parent_key", "child_key"]
         taken, columns = set(own), []
-        for name, kind in self.layout.columns.get(label, {}).items():
-            out = name
+        for path, kind in self.layout.columns.get(label, {}).items():
+            out = path.replace("/", "_").replace("~1", "/").replace("~0", "~")
             while out.lower() in taken:
                 out = f"{label}_{out}"
             taken.add(out.lower())
-            columns.append(F.try_element_at("attributes", F.lit(name)).try_cast(kind).alias(out))
+            columns.append(F.try_element_at("attributes", F.lit(path)).try_cast(kind).alias(out))
         return self.records.where(F.col("child") == label).select(*own, *columns)
 
+    def store(self, path: str) -> Shredded:
+        """All records written by one pass, in a folder a table, and the same tables over what was written."""
+        self.records.write.mode("overwrite").partitionBy("child").parquet(path)
+        spark = self.records.sparkSession
+        stored = spark.read.schema(self.records.schema).parquet(path)
+        return Shredded(self.layout, stored, lambda labels: stored.where(F.col("child").isin(*labels)).select("doc_key", "child", "parent_key", "child_key"))
+
 
 def schema_edges(df: DataFrame, json_col: str) -> list[tuple[str, str, str, int, int]]:
     """Edges of the schema graph of all texts; at most MAX_EDGES, else an error."""
@@ -311,40 +364,53 @@ def shred(df: DataFrame, id_col: str, json_col: str) -> Shredded:
     records.  Other columns are not read.  An empty table gives an empty layout.
     """
     layout = analyse(schema_edges(df, json_col))
-    schema = "doc_key {}, child string, parent string, parent_row string, row string, parent_key string, child_key string, attributes map<string,string>".format(df.schema[id_col].dataType.simpleString())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string())]
-        names = ["doc_key", "child", "parent", "parent_row", "row", "parent_key", "child_key", "attributes"]
-        for batch in batches:
-            # a slice at a time: a text's records take several times its room
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids, rows = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if text is None or not text.strip():
+    source = df.select(F.col(f"`{id_col}`").alias("doc_key"), F.col(f"`{json_col}`").alias("json"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def walker(wanted: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                # a slice at a time: a text's records take several times its room
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    w, ids = _Walker(layout, wanted), []
+                    for i, text in enumerate(part.column(1).to_pylist()):
+                        if text is None or not text.strip():
+                            continue
+                        obj, n = _root(read_json(text)), len(w.table)
+                        try:
+                            if obj is None:
+                                raise RecursionError
+                            w.record(ROOT, (None, None, ""), ROOT, "", obj)
+                        except RecursionError:
+                            w.undo(n)
+                            w.record(REJECTED, (None, None, ""), ROOT, "", text)
+                            if wanted is None:
+                                w.names[-1] = "text"
+                        ids.extend([i] * (len(w.table) - n))
+                    if not ids:
                         continue
-                    walker, obj = _Walker(layout), _root(read_json(text))
-                    try:
-                        if obj is None:
-                            raise RecursionError
-                        walker.record(ROOT, (None, None, ""), ROOT, "", obj)
-                        found = walker.out
-                    except RecursionError:
-                        found = [(REJECTED, None, None, ROOT, "", "", [("text", text)])]
-                    ids.extend([i] * len(found))
-                    rows.extend(found)
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    # of attributes that come to one name after inlining the last counts
-                    cols[6] = [list(dict(a).items()) for a in cols[6]]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
-
-    return Shredded(layout, df.select(F.col(f"`{id_col}`"), F.col(f"`{json_col}`")).mapInArrow(run, schema))
+                    at, string = pa.array(ids, pa.int64()), pa.string()
+                    columns = {"doc_key": part.column(0).take(at)}
+                    if wanted is None:
+                        columns |= {"doc_row": part.column(2).take(at)}
+                    columns |= {"child": pa.array(w.table, string)}
+                    if wanted is None:
+                        columns |= {"parent": pa.array(w.up_table, string), "parent_row": pa.array(w.up_row, string), "row": pa.array(w.row, string)}
+                    columns |= {"parent_key": pa.array(w.up_key, string), "child_key": pa.array(w.key, string)}
+                    if wanted is None:
+                        offsets = pa.array([*w.starts, len(w.names)], pa.int32())
+                        columns |= {"attributes": pa.MapArray.from_arrays(offsets, pa.array(w.names, string), pa.array(w.values, string))}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        return run
+
+    full = f"doc_key {kind}, doc_row bigint, child string, parent string, parent_row string, row string, parent_key string, child_key string, attributes map<string,string>"
+    records = source.withColumn("doc_row", F.monotonically_increasing_id()).mapInArrow(walker(None), full)
+    return Shredded(layout, records, lambda labels: source.mapInArrow(walker(frozenset(labels)), f"doc_key {kind}, child string, parent_key string, child_key string"))
 
 
 def child_keys(shredded: Shredded, names: Mapping[str, str]) -> DataFrame:
     """Every record of the tables in ``names`` (label -> name to give): doc_key, child, parent_key, child_key."""
     name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    rows = shredded.records.where(F.col("child").isin(*names))
-    return rows.select("doc_key", F.element_at(name, F.col("child")).alias("child"), "parent_key", "child_key")
+    return shredded.keys(list(names)).select("doc_key", F.element_at(name, F.col("child")).alias("child"), "parent_key", "child_key")

@@ -21,7 +21,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p5_table(label: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return nested.shred(table(spark, sf_dir, "extraction_results"), "result_id", "result_json").table(label)
+        return nested.shred(table(spark, sf_dir, "extraction_results"), "result_id", "result_json").table(label).drop("doc_row")
 
     return run
 

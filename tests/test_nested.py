@@ -72,9 +72,12 @@ def test_any_shape_keeps_its_leaves(objs):
     for o in objs:
         w = nested._Walker(layout)
         w.record(nested.ROOT, (None, None, ""), nested.ROOT, "", o)
-        rows = [r[3] for r in w.out]
-        assert len(rows) == len(set(rows))
-        assert all(r[2] is None or r[2] in rows for r in w.out)
+        rows = set(w.row)
+        assert len(rows) == len(w.row) == len(w.starts)
+        assert all(up is None or up in rows for up in w.up_row)
+        only = nested._Walker(layout, frozenset(w.table))
+        only.record(nested.ROOT, (None, None, ""), nested.ROOT, "", o)
+        assert (only.table, only.up_key, only.key) == (w.table, w.up_key, w.key)
 
 
 def test_deep_text_is_rejected_not_lost(spark):
@@ -87,3 +90,16 @@ def test_key_attribute_despite_a_dirty_entry():
     edges = [(nested.ROOT, "fields", "keyed", 5, 1), (nested.ROOT, "fields", "list", 3, 1), ("fields", "", "entry:list", 20, 1), ("fields", "", "entry:keyed", 9, 1)]
     edges += [("fields", "name", "str:list", 19, 1), ("fields", "name", "null:list", 1, 1), ("fields", "value", "str:list", 20, 1), ("fields", "value", "str:keyed", 9, 1), ("fields", "a_note", "str:list", 18, 1)]
     assert nested.analyse(edges).key_attribute == {"fields": "name"}
+
+
+def test_no_value_is_lost_to_another(spark, tmp_path):
+    doc = {"kids": [{"a_b": 1, "a": {"b": 2, "c/d": 3}, "a/b": 4, "a_c/d": 5}, {"big": 2**70}, {"big": 7}]}
+    got = nested.shred(frame(spark, [json.dumps(doc), json.dumps(doc)]).selectExpr("cast(null as long) AS rid", "js"), "rid", "js")
+    for shredded in (got, got.store(str(tmp_path / "tables"))):
+        kids = shredded.table("kids").collect()
+        assert len(kids) == 6 and len({(r.doc_row, r.row) for r in kids}) == 6
+        values = sorted(v for k, v in kids[0].asDict().items() if k not in ("doc_key", "doc_row") and isinstance(v, int))
+        assert values == [1, 2, 3, 4, 5] and {r.big for r in kids} == {None, str(2**70), "7"}
+        root = shredded.table("$").selectExpr("doc_row", "row AS parent_row")
+        assert shredded.table("kids").join(root, ["doc_row", "parent_row"]).count() == 6
+        assert nested.child_keys(shredded, {"kids": "k"}).count() == 6
