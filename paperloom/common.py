@@ -62,13 +62,13 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(add, sizes)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if rows and bytes, counted just past the limit, prove the size.
 
-    Beyond the limits the frame itself comes back, without a hint, and the join shuffles.
+    Beyond limit or BROADCAST_BYTES the frame itself comes back, without a hint, and the join shuffles.
     """
     n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    return F.broadcast(df) if n <= limit and (size or 0) <= most_bytes else df
+    return F.broadcast(df) if n <= limit and (size or 0) <= BROADCAST_BYTES else df
 
 
 def temp_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -174,15 +174,30 @@ def cache_key(model: Column, content: Column, prompt: Column) -> Column:
     return F.concat_ws(":", F.lit("v4"), model, F.md5(content), F.md5(prompt))
 
 
-def repaired_json(c: Column, schema: str) -> Column:
-    """A JSON object of a response: as it is, without fences, its outermost braces, then four repairs of a cut end.
+def json_object(c: Column) -> Column:
+    """The text of a response's JSON object: as it is, without fences, its outermost braces, then repairs of a cut end.
 
-    The repairs add two or one closing braces, at the end or before the last comma; null
-    if nothing parses, also for a JSON that is no object.
+    The repairs, of the outermost braces first, add two or one closing braces, at the end or
+    before the last comma; null if nothing parses, also for a JSON that is no object.
     """
-    s = strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
-    outer = F.regexp_extract(s, r"(?s)\{.*\}", 0)
-    head = F.regexp_extract(s, r"(?s)^(.*),", 1)
-    tries = [s, outer, F.concat(s, F.lit("}}")), F.concat(s, F.lit("}")), F.concat(head, F.lit("}")), F.concat(head, F.lit("}}"))]
-    one = lambda t: F.when(t.startswith("{") & t.endswith("}") & F.try_parse_json(t).isNotNull(), F.from_json(t, schema))
-    return F.coalesce(*map(one, tries))
+
+    def repairs(t: Column) -> list[Column]:
+        # without a comma all of it is the head
+        head = F.regexp_replace(t, r"(?s),[^,]*$", "")
+        return [F.concat(t, F.lit("}}")), F.concat(t, F.lit("}")), F.concat(head, F.lit("}")), F.concat(head, F.lit("}}"))]
+
+    is_object = lambda t: t.startswith("{") & F.try_parse_json(t).isNotNull()
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    repaired = lambda s, outer: F.get(F.filter(F.array(*repairs(outer), *repairs(s)), is_object), F.lit(0))
+    read = lambda s, outer: F.coalesce(F.when(is_object(s), s), F.when(is_object(outer), outer), repaired(s, outer))
+    return _let(bare, lambda s: _let(F.regexp_extract(s, r"(?s)\{.*\}", 0), lambda outer: read(s, outer)))
+
+
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that it needs several times, made once."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def repaired_json(c: Column, schema: str) -> Column:
+    """json_object() read by a schema; null without an object."""
+    return F.from_json(json_object(c), schema)

@@ -31,11 +31,15 @@ def nested(docs: DataFrame, **children: DataFrame) -> DataFrame:
     out = docs
     for name, child in children.items():
         cols = [c for c in child.columns if c != "doc_id"]
-        out = out.join(child.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)), "doc_id", "left")
+        own = child.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+        out = out.join(own, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
     return out
 
 
-def page_summaries(pages: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id and its pages' first words in page order, as a model's prompt takes them."""
-    line = F.struct(F.col("page"), F.substring("text", 1, length).alias("text"))
+def page_summaries(pages: DataFrame) -> DataFrame:
+    """doc_id, pages: what a model is told of a document to classify it, its pages in order.
+
+    pages: doc_id, page, page_type, fields array<string>, is_correction_page; no texts.
+    """
+    line = F.struct("page", "page_type", "fields", "is_correction_page")
     return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(line)).alias("pages"))

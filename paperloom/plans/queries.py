@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.common import table
 from paperloom.operators import nested, units
-from paperloom.plans import demo
+from paperloom.plans import answers, demo
 
 #: Elements of an extraction result that problem 5 asks for, with the names it gives them.
 P5_TABLES = {"fields": "fields", "tables": "tables", "rows": "table_rows", "corrections_applied": "corrections_applied", "mismatches": "mismatches", "component_fields": "component_fields"}
@@ -45,6 +45,7 @@ def p6_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **demo.QUERIES,
+        **answers.QUERIES,
         "p5_found": p5_found,
         **{f"p5_{name}": _p5_table(label) for label, name in P5_TABLES.items()},
         "p6_found": p6_found,

@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import document_key
 
-PAGE_ANSWER = (
-    "page_type string, is_correction_page boolean, text_quality string, has_degraded_text boolean, "
-    "correction_targets array<struct<field string, original_value string, corrected_value string, correction_date string, reference_page int>>, "
-    "detected_elements array<struct<type string, description string, confidence string>>, "
-    "extracted_fields map<string, struct<value string, confidence string, confidence_reason string, evidence string>>, "
-    "tables array<struct<name string, rows array<map<string,string>>>>, "
-    "degraded_text_blocks array<struct<location string, partial_text string, reason string, confidence string>>"
-)
 ANNOTATIONS = "id bigint, data map<string,string>, annotations array<struct<completed_at string, result array<struct<from_name string, value struct<choices array<string>, text array<string>>>>>>"
 #: A page splitter gets the bytes of one file and yields (page number from 1, text, tables as rows of cells).
 Splitter = Callable[[bytes], Iterable[tuple[int, str, list[list[list[str]]]]]]
