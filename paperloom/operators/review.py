@@ -64,18 +64,24 @@ def frequent_corrections(corrections: DataFrame, days: int = 30, least: int = 3)
 
 
 def check_corrections(corrections: DataFrame) -> DataFrame:
-    """Corrections(id, field, value, at) with problem: missing field, missing value, bad amount, or repeat within the week."""
+    """Corrections(id, field, value, at) with problem: missing field, missing value, bad amount, or repeat within the week.
+
+    Of equal corrections in a week the smallest id is the first; one without a time, field or
+    value can't be told to be a repeat.
+    """
     from paperloom.functions.text import money
     from paperloom.rules import mortgage as M
 
-    first = corrections.groupBy("field", "value", F.window("at", "7 days").alias("w")).agg(F.min("id").alias("first_id")).drop("w")
+    # sums by week first: only the ids of first ones come back to the rows
+    timed = corrections.where("at is not null and field is not null and value is not null")
+    first = timed.groupBy("field", "value", F.window("at", "7 days").alias("w")).agg(F.min("id").alias("first_id")).drop("w")
     again = corrections.join(first.select(F.col("first_id").alias("id"), F.lit(True).alias("is_first")).distinct(), "id", "left")
     is_money = F.col("field").isin(*M.MONEY_FIELDS)
     problem = (
         F.when(F.coalesce("field", F.lit("")) == "", "missing field")
         .when(F.coalesce("value", F.lit("")) == "", "missing value")
         .when(is_money & (~F.col("value").startswith("$") | money(F.col("value")).isNull()), "bad amount")
-        .when(F.col("is_first").isNull(), "repeat")
+        .when(F.col("is_first").isNull() & F.col("at").isNotNull(), "repeat")
     )
     return again.select("id", "field", "value", "at", problem.alias("problem"))
 

@@ -141,7 +141,7 @@ def engine_counts(spark, d):
 def engine_documents(spark, d):
     """The nested view of every document, its arrays by size and digest."""
     n = result(spark, d).documents()
-    return n.select("doc_id", "doc_type", "confidence", *[F.size(c).alias(f"n_{c}") for c in ("fields", "corrections", "table_rows", "elements", "degraded_blocks", "mismatches")], F.md5(F.array_join(F.transform("fields", lambda x: x["field"]), "|")).alias("digest"))
+    return n.select("doc_id", "doc_type", "confidence", *[F.size(c).alias(f"n_{c}") for c in ("fields", "corrections", "table_rows", "elements", "degraded_blocks", "mismatches")], F.md5(F.array_join(F.array_sort(F.transform("fields", lambda x: x["field"])), "|")).alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (engine_pages, engine_fields, engine_corrections, engine_table_rows, engine_elements, engine_blocks, engine_mismatches, engine_summaries, engine_types, engine_counts, engine_documents)}

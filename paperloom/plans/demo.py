@@ -168,13 +168,7 @@ def override_rate(spark, d):
 
 
 def latest_annotation(spark, d):
-    """Answers packed as an annotation export, a task's annotations in order, and read back."""
-    r = table(spark, d, "import_corrections")
-    one = lambda n, c, k: F.struct(F.lit(n).alias("from_name"), F.struct((F.array(c) if k == "choices" else F.array().cast("array<string>")).alias("choices"), (F.array(c) if k == "text" else F.array().cast("array<string>")).alias("text")).alias("value"))
-    entry = F.struct(F.col("reviewed_at").cast("string").alias("completed_at"), F.col("review_id"), F.array(one("verdict", F.lower(K.strip(F.col("reviewer_verdict"))), "choices"), one("corrected_value", F.col("reviewer_corrected_value"), "text"), one("reviewer_notes", F.col("reviewer_notes"), "text")).alias("result"))
-    # a task's answers are as many as it has reviewers
-    packed = r.groupBy("task_id").agg(F.array_sort(F.collect_list(entry)).alias("annotations"))
-    return review.answers(packed)
+    return review.answers(_annotations(spark, d))
 
 
 def cache_misses(spark, d):
@@ -189,8 +183,8 @@ def frequent_corrections(spark, d):
 
 
 def checked_corrections(spark, d):
-    e = table(spark, d, "import_corrections").where("lower(trim(reviewer_verdict)) = 'wrong' and reviewed_at is not null")
-    return review.check_corrections(e.select(F.col("review_id").alias("id"), K.clean_field_name(F.col("field")).alias("field"), F.col("reviewer_corrected_value").alias("value"), F.col("reviewed_at").alias("at"))).select("id", "problem")
+    e = table(spark, d, "import_corrections").where("lower(trim(reviewer_verdict)) = 'wrong'")
+    return review.check_corrections(e.select(F.col("review_id").alias("id"), K.clean_field_name(F.col("field")).alias("field"), F.col("reviewer_corrected_value").alias("value"), F.when(F.col("review_id") % 9 > 0, F.col("reviewed_at")).alias("at"))).select("id", "problem")
 
 
 def changed_values(spark, d):
@@ -216,18 +210,74 @@ def json_recovery(spark, d):
     return e.select("event_id", T.repaired_json(cut, "k long")["k"].alias("k"))
 
 
+def json_arms(spark, d):
+    """Answers cut in each of the ways that recovery knows, and one that it doesn't."""
+    e, k = table(spark, d, "events"), F.regexp_extract("props", r"(-?\d+)", 1)
+    forms = ('{"k": %, "a": {"b": 1', '{"k": %, "a": 1', '{"k": %, "b": "tru', '{"a": 1, "c": {"k": %, "b": "tru', 'note {"k": %, "a": {"b": 1} so', "[%]", '{"k": %, "b": ["x", "y"')
+    made = F.element_at(F.array(*[F.concat(*[x for i, part in enumerate(f.split("%")) for x in ([k] if i else []) + [F.lit(part)]]) for f in forms]), (F.col("event_id") % len(forms) + 1).cast("int"))
+    got = T.repaired_json(made, "k long, c struct<k long>")
+    return e.select("event_id", F.coalesce(got["k"], got["c"]["k"]).alias("k"))
+
+
+def _annotations(spark, d):
+    """Answers packed as an annotation export, a task's annotations in order."""
+    r = table(spark, d, "import_corrections")
+    one = lambda n, c, k: F.struct(F.lit(n).alias("from_name"), F.struct((F.array(c) if k == "choices" else F.array().cast("array<string>")).alias("choices"), (F.array(c) if k == "text" else F.array().cast("array<string>")).alias("text")).alias("value"))
+    entry = F.struct(F.col("reviewed_at").cast("string").alias("completed_at"), F.col("review_id"), F.array(one("verdict", F.lower(K.strip(F.col("reviewer_verdict"))), "choices"), one("corrected_value", F.col("reviewer_corrected_value"), "text"), one("reviewer_notes", F.col("reviewer_notes"), "text")).alias("result"))
+    # a task's answers are as many as it has reviewers
+    return r.groupBy("task_id").agg(F.array_sort(F.collect_list(entry)).alias("annotations"))
+
+
+def wrong_answers(spark, d):
+    return review.answers(_annotations(spark, d), only_wrong=True)
+
+
+def extended_aliases(spark, d):
+    """The rule pack's aliases with the spellings that reviewers met, by the clean name."""
+    known = spark.createDataFrame([(n, f) for f, ns in M.ALIASES.items() for n in ns], "name string, canonical string")
+    r = table(spark, d, "import_corrections").where("lower(trim(reviewer_verdict)) = 'wrong'")
+    return review.extended_aliases(known, r.select(F.lower(F.trim("field_display")).alias("name"), K.clean_field_name(F.col("field")).alias("canonical")))
+
+
+def added_tables(spark, d):
+    """Rows of parsed tables on pages whose answer has no table of that name."""
+    p = page_texts(spark, d).where("page is not null")
+    parsed = tables.header_rows(_label_lines(p))
+    present = p.where("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("doc_id"), "page", F.concat(F.lit("Parsed Table 1 (p"), F.col("page").cast("string"), F.lit(")")).alias("name"))
+    return tables.new_tables(parsed, present).select(F.col("doc_id").cast("long").alias("page_id"), "name", "row_ord", "confidence", F.element_at("cells", F.lit("Item")).alias("item"), F.element_at("cells", F.lit("col_1")).alias("amount"))
+
+
+def low_confidence(spark, d):
+    """the resolved fields of low confidence after adjustment."""
+    return confidence.adjust(resolved_fields(spark, d), page_texts(spark, d)).where("confidence = 'low'").select("doc_id", "field", "raw_value")
+
+
+def cache_keys(spark, d):
+    """Keys under which answers about pages are stored: model, content and prompt."""
+    return page_texts(spark, d).select("page_id", T.cache_key(F.lit("m1"), F.col("text"), F.concat(F.lit("page "), F.coalesce(F.col("page").cast("string"), F.lit("?")))).alias("key"), T.document_key(F.coalesce("filename", F.lit(""))).alias("doc_key"))
+
+
+def document_rollup(spark, d):
+    """Resolved fields of each document: counts by confidence and the sum of its amounts."""
+    f = resolved_fields(spark, d)
+    n = lambda c: F.count(F.when(F.col("confidence") == c, 1)).alias(f"n_{c}")
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fields"), n("high"), n("medium"), n("low"), F.count(F.when(F.col("corrected"), 1)).alias("n_corrected"), F.sum(T.check_money(F.when(F.col("field").isin(*M.MONEY_FIELDS), F.col("raw_value"))).cast("decimal(18,2)")).alias("amounts"))
+
+
 def failure_classes(spark, d):
     r = table(spark, d, "field_values")
     msg = F.concat(F.element_at(F.array(*map(F.lit, ("HTTP 429", "model not_found", "503 busy", "401 denied", "odd"))), (F.col("fv_id") % 5 + 1).cast("int")), F.lit(" at "), F.coalesce("feed", F.lit("none")))
     return r.groupBy(T.error_class(msg).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def header_tables(spark, d):
+def _label_lines(p: DataFrame) -> DataFrame:
     """Pages' label and amount lines as raw tables, keyed by a header row."""
-    p = page_texts(spark, d)
     rows = F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^([A-Z][A-Za-z ]+?) {3,}(\$[0-9,.]+)$"), F.lit(0)), lambda s: F.split(s, " {3,}"))
-    raw = p.select(F.col("page_id").cast("string").alias("doc_id"), F.coalesce("page", F.lit(0)).alias("page"), F.lit(1).alias("table_ord"), F.concat(F.array(F.array(F.lit("Item"), F.lit(""))), rows).alias("rows"))
-    out = tables.header_rows(raw)
+    return p.select(F.col("page_id").cast("string").alias("doc_id"), F.coalesce("page", F.lit(0)).alias("page"), F.lit(1).alias("table_ord"), F.concat(F.array(F.array(F.lit("Item"), F.lit(""))), rows).alias("rows"))
+
+
+def header_tables(spark, d):
+    out = tables.header_rows(_label_lines(page_texts(spark, d)))
     return out.select(F.col("doc_id").cast("long").alias("page_id"), "name", "row_ord", F.element_at("cells", F.lit("Item")).alias("item"), F.element_at("cells", F.lit("col_1")).alias("amount"))
 
 
@@ -243,5 +293,6 @@ QUERIES = {
     "sum_mismatches": mismatches("sum"), "generic_totals": mismatches("generic"), "ratio_mismatches": mismatches("ratio"), "all_mismatches": mismatches("all"), "cross_validated": cross_validated,
     "adjusted_confidence": adjusted_confidence, "review_queue": review_queue, "verdict_summary": verdict_summary, "override_rate": override_rate, "latest_annotation": latest_annotation,
     "cache_misses": cache_misses, "frequent_corrections": frequent_corrections, "checked_corrections": checked_corrections, "changed_values": changed_values, "document_counts": document_counts,
-    "field_report": field_report, "json_recovery": json_recovery, "failure_classes": failure_classes, "header_tables": header_tables, "document_sources": classified_sources,
+    "field_report": field_report, "json_recovery": json_recovery, "failure_classes": failure_classes, "header_tables": header_tables, "json_arms": json_arms, "wrong_answers": wrong_answers, "extended_aliases": extended_aliases,
+    "added_tables": added_tables, "low_confidence": low_confidence, "cache_keys": cache_keys, "document_rollup": document_rollup, "document_sources": classified_sources,
 }

@@ -209,14 +209,35 @@ SELECT confidence, count(*) AS n, count(*) FILTER (verdict = 'wrong') AS n_wrong
     "document_sources": "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2",
 }
 
+_SCHEMA = ", ".join(f"({i}, {_q(n)})" for i, n in enumerate(M.SCHEMA_FIELDS))
+_MADE |= {
+    # a row of the common subsequences' lengths for each letter of the key; a row only grows, so its own running maximum closes it
+    "name_fuzzy": f"""WITH RECURSIVE k AS (SELECT DISTINCT field AS name, translate({_strip('lower(field)')}, ' -.', '__') AS key FROM field_values WHERE field IS NOT NULL), al(name, f) AS (VALUES {_ALIASES}), sc(o, w) AS (VALUES {_SCHEMA}),
+e AS (SELECT k.name, key, al.f, key IN {_in(M.SCHEMA_FIELDS)} AS own FROM k LEFT JOIN al ON al.name = k.key),
+dp AS (SELECT key, o, w, 0 AS i, list_transform(range(length(w) + 1), lambda x: 0) AS row FROM (SELECT DISTINCT key FROM e WHERE f IS NULL AND NOT own), sc
+  UNION ALL SELECT key, o, w, i + 1, list_transform(range(1, length(w) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda m: CASE WHEN m > 1 AND substr(w, m - 1, 1) = substr(key, i + 1, 1) THEN row[m - 1] + 1 ELSE row[m] END))) FROM dp WHERE i < length(key)),
+near AS (SELECT key, w FROM (SELECT key, o, w, 200.0 * row[length(w) + 1] / (length(key) + length(w)) AS score FROM dp WHERE i = length(key)) WHERE score >= 65 AND key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, o) = 1)
+SELECT e.name, e.key, coalesce(f, CASE WHEN own THEN e.key END, near.w, e.key) AS canonical, CASE WHEN f IS NOT NULL THEN 'alias' WHEN own THEN 'schema' WHEN near.w IS NOT NULL THEN 'fuzzy' ELSE 'key' END AS layer FROM e LEFT JOIN near ON near.key = e.key""",
+    "json_arms": "SELECT event_id, CASE WHEN event_id % 7 IN (5, 6) THEN NULL ELSE CAST(props->>'$.k' AS BIGINT) END AS k FROM events",
+    "wrong_answers": f"SELECT * FROM ({_MADE['latest_annotation']}) WHERE verdict = 'wrong'",
+    "extended_aliases": f"""WITH al(name, canonical) AS (VALUES {_ALIASES}), n AS (SELECT lower(trim(field_display)) AS name, min({_FIELD}) AS canonical FROM import_corrections WHERE {_WRONG} AND field_display IS NOT NULL AND field IS NOT NULL GROUP BY 1)
+SELECT * FROM al UNION ALL SELECT * FROM n WHERE name NOT IN (SELECT name FROM al)""",
+    "low_confidence": f"SELECT a.doc_id, a.field, r.raw_value FROM ({_MADE['adjusted_confidence']}) a JOIN ({_MADE['resolved_fields']}) r USING (doc_id, field) WHERE a.confidence = 'low'",
+    "cache_keys": f"WITH {_PAGES} SELECT page_id, 'v4:m1:' || md5(text) || ':' || md5('page ' || coalesce(CAST(page AS VARCHAR), '?')) AS key, left(sha256(coalesce(filename, '')), 8) AS doc_key FROM pg",
+    "document_rollup": f"""WITH {_RESOLVED} SELECT doc_id, count(*) AS n_fields, count(*) FILTER (confidence = 'high') AS n_high, count(*) FILTER (confidence = 'medium') AS n_medium, count(*) FILTER (confidence = 'low') AS n_low, count(*) FILTER (corrected) AS n_corrected,
+  sum(CAST(CASE WHEN field IN {_in(M.MONEY_FIELDS)} THEN {_CHECK('raw_value')} END AS DECIMAL(18,2))) AS amounts FROM res GROUP BY 1""",
+}
 _LAB, _AMT = ("label", "Label", "description", "Description", "item", "Item"), ("amount", "Amount", "value", "Value", "cost", "Cost")
 _FIRST = lambda ks: "coalesce(" + ", ".join(f"nullif({_strip(f'(e->>{chr(39)}{k}{chr(39)})')}, '')" for k in ks) + ")"
 _MADE |= {
     "header_tables": f"""WITH {_PAGES}, x AS (SELECT page_id, page, regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+?) {{3,}}(\\$[0-9,.]+)$') AS l FROM pg),
 u AS (SELECT page_id, page, unnest(range(len(l))) AS row_ord, l FROM x)
 SELECT page_id, 'Parsed Table 1 (p' || coalesce(page, 0) || ')' AS name, CAST(row_ord AS INT) AS row_ord, regexp_extract(l[row_ord + 1], '^(.*?) {{3,}}', 1) AS item, regexp_extract(l[row_ord + 1], ' {{3,}}(\\$.*)$', 1) AS amount FROM u""",
-    "checked_corrections": f"""WITH c AS (SELECT review_id AS id, {_FIELD} AS field, reviewer_corrected_value AS value, reviewed_at AS moment FROM import_corrections WHERE {_WRONG} AND reviewed_at IS NOT NULL),
-f AS (SELECT *, row_number() OVER (PARTITION BY field, value, time_bucket(INTERVAL 7 DAY, moment, TIMESTAMP '1970-01-01') ORDER BY id) AS k FROM c)
+    "added_tables": f"""WITH {_PAGES}, x AS (SELECT page_id, page, regexp_extract_all(text, '(?m)^([A-Z][A-Za-z ]+?) {{3,}}(\\$[0-9,.]+)$') AS l FROM pg WHERE page IS NOT NULL AND page_id % 3 <> 0),
+u AS (SELECT page_id, page, unnest(range(len(l))) AS row_ord, l FROM x)
+SELECT page_id, 'Parsed Table 1 (p' || page || ')' AS name, CAST(row_ord AS INT) AS row_ord, 'high' AS confidence, regexp_extract(l[row_ord + 1], '^(.*?) {{3,}}', 1) AS item, regexp_extract(l[row_ord + 1], ' {{3,}}(\\$.*)$', 1) AS amount FROM u""",
+    "checked_corrections": f"""WITH c AS (SELECT review_id AS id, {_FIELD} AS field, reviewer_corrected_value AS value, reviewed_at AS moment FROM import_corrections WHERE {_WRONG}),
+f AS (SELECT id, field, value, CASE WHEN id % 9 > 0 AND moment IS NOT NULL AND field IS NOT NULL AND value IS NOT NULL THEN row_number() OVER (PARTITION BY field, value, time_bucket(INTERVAL 7 DAY, CASE WHEN id % 9 > 0 THEN moment END, TIMESTAMP '1970-01-01') ORDER BY id) ELSE 1 END AS k FROM c)
 SELECT id, CASE WHEN coalesce(field, '') = '' THEN 'missing field' WHEN coalesce(value, '') = '' THEN 'missing value' WHEN field IN {_in(M.MONEY_FIELDS)} AND (NOT starts_with(value, '$') OR {_money("nullif(value, '')")} IS NULL) THEN 'bad amount' WHEN k > 1 THEN 'repeat' END AS problem FROM f""",
     "cross_validated": f"""WITH {_RESOLVED}, j AS (SELECT result_id, try_cast(regexp_extract(result_json, '(?s)\\{{.*\\}}') AS JSON) AS o FROM extraction_results), r AS (SELECT result_id, coalesce(o->'$.result', o) AS o FROM j WHERE json_type(o) = 'OBJECT'),
 t AS (SELECT result_id, lower({_strip("(o->>'$.document_id')")}) AS doc_id, CASE WHEN json_type(o->'$.tables') = 'VARCHAR' THEN try_cast(o->>'$.tables' AS JSON) ELSE o->'$.tables' END AS v FROM r),
@@ -260,3 +281,39 @@ UNION ALL SELECT result_id, c, '', CAST(pos AS VARCHAR) FROM items WHERE json_ty
 UNION ALL SELECT result_id, c, CAST(pos AS VARCHAR), CAST(k AS VARCHAR) FROM inner_items WHERE json_type(e) <> 'NULL'
 """,
 }
+
+_P5 = ORACLES["p5_found"]
+_P5 = _P5[: _P5.index("SELECT result_id, 'fields' AS child")]
+_P5_KEYED = r""", keyed AS (
+  SELECT result_id, k, k AS place, json_extract(fields, '$."' || k || '"') AS e FROM (SELECT result_id, fields, unnest(json_keys(fields)) AS k FROM t WHERE json_type(fields) = 'OBJECT') WHERE json_type(json_extract(fields, '$."' || k || '"')) <> 'NULL'
+  UNION ALL
+  SELECT result_id, coalesce(l[i]->>'$.name', CAST(i - 1 AS VARCHAR)), CAST(i - 1 AS VARCHAR), l[i] FROM (SELECT result_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT result_id, CAST(fields AS JSON[]) AS l FROM t WHERE json_type(fields) = 'ARRAY')) WHERE json_type(l[i]) <> 'NULL')
+"""
+
+
+def _p5_table(columns: dict[str, str], rows: str) -> str:
+    """A flat table of problem 5: the keys of rows, and columns of their entry e."""
+    made = ", ".join(f"""try_cast(e->>'$.{c}' AS {kind}) AS "{c}\"""" for c, kind in columns.items())
+    return f"{_P5}{_P5_KEYED} SELECT doc_key, row, parent, parent_row, parent_key, child_key, {made} FROM ({rows})"
+
+
+def _p5_items(label: str) -> str:
+    return f"SELECT result_id AS doc_key, '$/{label}[' || pos || ']' AS row, '$' AS parent, '$' AS parent_row, '' AS parent_key, CAST(pos AS VARCHAR) AS child_key, e FROM items WHERE c = '{label}' AND json_type(e) <> 'NULL'"
+
+
+def _p5_inner(label: str, parent: str, child: str) -> str:
+    return f"SELECT result_id AS doc_key, '$/{parent}[' || pos || ']/{child}[' || k || ']' AS row, '{parent}' AS parent, '$/{parent}[' || pos || ']' AS parent_row, CAST(pos AS VARCHAR) AS parent_key, CAST(k AS VARCHAR) AS child_key, e FROM inner_items WHERE c = '{label}' AND json_type(e) <> 'NULL'"
+
+
+_texts = lambda *names: dict.fromkeys(names, "VARCHAR")
+ORACLES |= {
+    "p5_fields": _p5_table(
+        _texts("confidence", "confidence_reason", "correction_date", "evidence", "name", "normalized_value", "raw_value") | {"corrected": "BOOLEAN", "correction_page": "BIGINT", "source_page": "BIGINT"},
+        "SELECT result_id AS doc_key, '$/fields[' || place || ']' AS row, '$' AS parent, '$' AS parent_row, '' AS parent_key, k AS child_key, e FROM keyed",
+    ),
+    "p5_tables": _p5_table(_texts("confidence", "name") | {"source_page": "BIGINT"}, _p5_items("tables")),
+    "p5_table_rows": _p5_table(_texts("Item", "amount", "description", "label", "notes", "value"), _p5_inner("table_rows", "tables", "rows")),
+    "p5_corrections_applied": _p5_table(_texts("corrected_value", "correction_date", "field", "original_value", "resolution_rule") | {"correction_page": "BIGINT", "original_page": "BIGINT"}, _p5_items("corrections_applied")),
+    "p5_mismatches": _p5_table(_texts("action", "description", "field", "severity", "stated_value") | {"difference": "DOUBLE"}, _p5_items("mismatches")),
+    "p5_component_fields": _p5_table({}, "").replace(",  FROM ()", f", e->>'$' AS value FROM ({_p5_inner('component_fields', 'mismatches', 'component_fields')})"),
+}

@@ -57,4 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from paperloom.plans.oracles import ORACLES
 
-    return dict(ORACLES)
+    from paperloom.plans.engine_oracles import ORACLES as ENGINE
+
+    return ORACLES | ENGINE

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import document_key
+from paperloom.functions.text import document_key, repaired_json
 
 ANNOTATIONS = "id bigint, data map<string,string>, annotations array<struct<completed_at string, result array<struct<from_name string, value struct<choices array<string>, text array<string>>>>>>"
 #: A page splitter gets the bytes of one file and yields (page number from 1, text, tables as rows of cells).
@@ -62,9 +62,20 @@ def read_page_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id string, page int, response string").json(path)
 
 
+#: What an exported result holds, for a reader that wants columns; other entries stay in the text.
+RESULT = (
+    "document_id string, filename string, document_type string, document_type_confidence string, pages_processed int, "
+    "fields map<string, struct<raw_value string, confidence string, confidence_reason string, evidence string, source_page int>>"
+)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """filename and text of exported results, one JSON document a file."""
-    return spark.read.text(path, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("filename"), F.col("value").alias("result_json"))
+    """filename, result_json, result of exported results, one JSON document a file.
+
+    result has the columns of RESULT, and is null for a text without a JSON object.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("filename"), F.col("value").alias("result_json"))
+    return texts.withColumn("result", repaired_json(F.col("result_json"), RESULT))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
