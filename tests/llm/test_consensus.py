@@ -64,3 +64,16 @@ def test_no_answers(spark):
     empty = spark.createDataFrame([], "item long, annotator string, label string")
     got = C.fit(empty, spark.createDataFrame([(1,), (1,), (None,)], "item long"), C.VERDICTS, rounds=2)
     assert [r.label for r in got.items.collect()] == ["correct"] and got.annotators.count() == 0
+
+
+def test_both_kinds_of_rounds_agree(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, f"r{a}", rnd.choice("xyz") if rnd.random() < 0.3 else "xyz"[i % 3]) for i in range(120) for a in range(7) if rnd.random() < 0.6] + [(500, "r1", "other"), (None, "r1", "x"), (501, None, "x")]
+    answers = spark.createDataFrame(rows, "item long, annotator string, label string")
+    items = answers.select("item")
+    packed = C.fit(answers, items, ("x", "y", "z"))
+    monkeypatch.setattr(C, "MAX_CELLS", 0)
+    joined = C.fit(answers, items, ("x", "y", "z"))
+    assert packed.rounds == joined.rounds > 2
+    of = lambda df, key: {r[key]: [x if isinstance(x, str) else round(x, 9) for x in r if x is not r[key]] for r in df.collect()}
+    assert of(packed.items, "item") == of(joined.items, "item") and of(packed.annotators, "annotator") == of(joined.annotators, "annotator")

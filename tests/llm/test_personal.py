@@ -47,3 +47,35 @@ def test_empty(spark):
     texts = spark.createDataFrame([], "origin string, record_id long, text string")
     parts = P.name_parts(spark.createDataFrame([], "raw_value string"), "raw_value")
     assert P.find_personal(texts, parts).count() == 0
+
+
+def some_texts(spark, n=300):
+    line = "Inquiries: Nojes Soumot, telephone 555-555-01%02d, or write to nsoumot@mail.example. SSN: 666-13-15%02d. Contact Griv Subriamern."
+    return spark.createDataFrame([("page", i, line % (i % 90, i % 90)) for i in range(n)], "origin string, record_id long, text string")
+
+
+def test_gazetteer_by_join_or_by_worker(spark, monkeypatch):
+    parts = P.name_parts(spark.createDataFrame([(v,) for v in ["Nojes Soumot", "Soumot, Nojes", "Griv Subriamern", "Griv Subriamern"]], "raw_value string"), "raw_value")
+    texts = some_texts(spark, 40)
+    small = {tuple(r[:5]) for r in P.spans(texts, parts).collect()}
+    monkeypatch.setattr(P, "PARTS", 1)
+    assert {tuple(r[:5]) for r in P.spans(texts, parts).collect()} == small and len([x for x in small if x[2] == "NAME"]) == 80
+
+
+def test_the_sample_does_not_grow_with_tasks(spark, monkeypatch):
+    seen = []
+    fit = P.fit_classifier
+    monkeypatch.setattr(P, "SAMPLE", 60)
+    monkeypatch.setattr(P, "fit_classifier", lambda rows, posterior: seen.append(len(rows)) or fit(rows, posterior))
+    parts = P.name_parts(spark.createDataFrame([(v,) for v in ["Nojes Soumot", "Nojes Soumot"]], "raw_value string"), "raw_value")
+    texts = some_texts(spark)
+    for tasks in (2, 60):
+        assert P.find_personal(texts.repartition(tasks), parts).where("kind = 'ID'").count() == 300
+    assert seen[0] == seen[1] and 30 <= seen[0] <= 120
+
+
+def test_enough_counts_turn_a_belief(spark):
+    # the second labeler's votes for come with votes against of three others only
+    rows = [("NAME", "++++0", 4000), ("NAME", "-+---", 4000), ("NAME", "+0++0", 4000), ("NAME", "-0---", 300)]
+    p = P.reliabilities(rows)
+    assert p["NAME", "-+---"] < 0.05 < 0.95 < p["NAME", "+0++0"]

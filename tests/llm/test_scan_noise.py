@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from paperloom.llm import scan_noise as S
 
 SCHEMA = "origin string, record_id long, page int, whole boolean, text string, KIND string"
@@ -77,3 +80,47 @@ def test_lines_recur_outside_the_sample(spark, monkeypatch):
         truth.add((rid, 1))
     got = {(r.record_id, r.line_no) for r in S.find_noise(spark.createDataFrame(rows, SCHEMA)).where("kind = 'header'").collect()}
     assert len(truth & got) >= 0.95 * len(truth)
+
+
+def test_batched_paths_are_the_best_ones():
+    rnd = np.random.default_rng(3)
+    step, start = np.log(rnd.dirichlet(np.ones(5), 5)), np.log(rnd.dirichlet(np.ones(5)))
+    sizes = np.array([3, 0, 1, 4, 2, 4])
+    own = rnd.normal(size=(sizes.sum(), 5))
+    for cells in (1, 5, 1000):
+        got, at = S.viterbi(own, sizes, step, start, cells), 0
+        for n in sizes:
+            if n:
+                score = lambda y, e=own[at : at + n]: start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(step[a, b] for a, b in zip(y, y[1:], strict=False))
+                assert tuple(got[at : at + n]) == max(itertools.product(range(5), repeat=int(n)), key=score)
+            at += n
+
+
+def test_paragraphs_follow_the_labels(spark):
+    rows, _ = pages(200)
+    para = "the settlement statement requires confirmation that\nevery recorded easement was transferred.\nThe refundable deposit remains unverified pending departmental\napproval of the municipality.\n\nThe amendment follows the final\n\nstatement of the municipality before the deposit"
+    rows += [("page", 1000 + i, 3, True, f"PROMISSORY NOTE\n{para}\nPage 3", "x") for i in range(60)]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    text = {r.record_id: r.text for r in S.repair(texts, S.find_noise(texts)).collect()}[1003]
+    # a blank line within a sentence divides nothing, and neither header nor page number is left
+    assert "PROMISSORY" not in text and "Page 3" not in text
+    assert "requires confirmation that every recorded easement" in text and "\nThe amendment follows" in text
+
+
+def test_the_sample_does_not_grow_with_tasks(spark, monkeypatch):
+    seen = []
+    train = S.train
+    monkeypatch.setattr(S, "SAMPLE", 50)
+    monkeypatch.setattr(S, "train", lambda entries: seen.append(len(entries)) or train(entries))
+    texts = spark.createDataFrame(pages(300)[0], SCHEMA)
+    for tasks in (2, 60):
+        S.fit_lines(texts.repartition(tasks), S.recurring_lines(texts))
+    assert seen[0] == seen[1] and 20 <= seen[0] <= 100
+
+
+def test_long_tokens_and_words_are_judged(spark):
+    common = "arrangement consideration " * 40
+    rows = [("page", i, 1, True, common, "") for i in range(5)]
+    rows += [("page", 50, 1, True, "x " * 300 + "c0nsideration at the end", ""), ("page", 51, 1, True, "9" * 5000 + " and " + "w" * 20_000, ""), ("page", 52, 1, True, "arrange–\nment here", "")]
+    got = {(r.record_id, r.line_no, r.kind) for r in S.find_noise(spark.createDataFrame(rows, SCHEMA)).where("kind in ('char', 'hyphen')").collect()}
+    assert got == {(50, 1, "char"), (52, 1, "hyphen")}

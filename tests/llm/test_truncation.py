@@ -82,3 +82,16 @@ def test_last_words_of_long_tokens(spark):
     hashes = [("member", "said", long), ("member", "y" * 300, "z" * 300), ("member", "said", "so"), ("the", "member", long)]
     want = {i: spark.createDataFrame([h], "a string, b string, c string").selectExpr("xxhash64(a, b, c)").first()[0] for i, h in enumerate(hashes)}
     assert {r.id: r.gram for r in ends.collect()} == want
+
+
+def test_signs_add_up(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(sentence(rnd) for _ in range(rnd.randint(6, 14))) for _ in range(400)]
+    rows = [(i, "free", t) for i, t in enumerate(texts)] + [(1000 + i, "narrow", t[:300]) for i, t in enumerate(texts[:150]) if len(t) > 300]
+    rows += [(5000, "free", texts[0] + " The committee minis"), (5001, "free", texts[0] + " The committee [...]")]
+    got = {r.doc_id: r for r in T.detect(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert set(got[5000].signs) == {"prefix", "open"} and got[5000].evidence == "prefix"
+    assert got[5001].signs[0] == "mark" and got[5001].score == T.START + T.WEIGHTS["mark"]
+    narrow = [r for i, r in got.items() if 1000 <= i < 5000 and r.is_cut]
+    assert len(narrow) > 100 and all("limit" in r.signs for r in narrow) and any({"limit", "prefix"} <= set(r.signs) for r in narrow)
+    assert all(r.is_cut == (r.score > 0) for r in got.values())
