@@ -9,6 +9,7 @@ table, and rows without a pair left are compacted away.
 from __future__ import annotations
 
 import base64
+import heapq
 import importlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: Distinct pieces that a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 400_000
 NONE = np.int32(2**31 - 1)
-#: Longer pieces merge all places of their least pair in a round, which gives the same ids.
+#: Longer pieces, for which a matrix would be nearly empty work, take their pairs in the same order from a heap.
 LONG = 256
 
 
@@ -83,6 +84,8 @@ class Encoder:
         self.pairs = PairTable(*(np.array(x, dtype=np.int64) for x in zip(*triples, strict=True)))
         self.split = regex.compile(importlib.import_module("public_tokenizers").PATTERN).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        #: the pair table as a dictionary, made when a long piece needs it
+        self.merged: dict[int, int] | None = None
 
     def _merge(self, ids: np.ndarray) -> list[np.ndarray]:
         """Ids of one bucket: rows padded with -1 on the right."""
@@ -113,21 +116,32 @@ class Encoder:
                 rank[r, here] = np.where(at <= last, self.pairs.ranks(ids[r, here], ids[r, here + 1]), rank[r, here])
         return result  # type: ignore[return-value]
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long piece; a round merges every place of its least pair, leftmost first."""
-        while len(ids) > 1:
-            rank = self.pairs.ranks(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(rank == least)
-            if len(at) > 1:  # of overlapping places (aaa) every second one of a run holds
-                run = np.cumsum(np.concatenate([[1], (np.diff(at) > 1).astype(int)]))
-                first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-                at = at[(np.arange(len(at)) - first[run - 1]) % 2 == 0]
-            ids[at] = least
-            ids = np.delete(ids, at + 1)
-        return ids
+    def _merge_long(self, piece: np.ndarray) -> tuple[int, ...]:
+        """One long piece, merged in the same order as the rows of a matrix: the leftmost of the least pairs first.
+
+        A heap holds the pairs by rank and place, so a merge costs no pass over the piece.
+        """
+        if self.merged is None:
+            there = self.pairs.values != NONE
+            self.merged = dict(zip(self.pairs.keys[there].tolist(), self.pairs.values[there].tolist(), strict=True))
+        ids, n = piece.tolist(), len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.pairs.ranks(piece[:-1], piece[1:])
+        at = np.flatnonzero(rank != NONE)
+        heap = [(r, i, ids[i], ids[i + 1]) for r, i in zip(rank[at].tolist(), at.tolist(), strict=True)]
+        heapq.heapify(heap)
+        while heap:
+            r, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:  # one of the two was merged meanwhile
+                continue
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (new := self.merged.get((ids[x] << 32) | ids[y])) is not None:
+                    heapq.heappush(heap, (new, x, ids[x], ids[y]))
+        return tuple(x for x in ids if x >= 0)
 
     def learn(self, pieces: list[str]) -> None:
         """Compute the ids of pieces not met before."""
@@ -137,7 +151,7 @@ class Encoder:
         for p in pieces:
             b = p.encode("utf-8", "surrogatepass")
             if len(b) > LONG:
-                self.known[p] = tuple(self._merge_long(self.byte_ids[np.frombuffer(b, dtype=np.uint8)].copy()).tolist())
+                self.known[p] = self._merge_long(self.byte_ids[np.frombuffer(b, dtype=np.uint8)])
             else:
                 buckets.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append((p, b))
         for width, rows in buckets.items():

@@ -1,4 +1,5 @@
 import base64
+import random
 
 import public_tokenizers as P
 import pytest
@@ -6,6 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from paperloom.llm import encode as E
 from paperloom.llm.encode import Encoder, count_tokens, encode, vocabulary_path
 
 
@@ -47,3 +49,14 @@ def test_frames(spark, both):
     assert sorted(got, key=str) == sorted([(1, ref("hello world")), (2, []), (3, []), (3, []), (None, ref("a b"))], key=str)
     assert encode(df.limit(0), "doc_id", "text").count() == 0
     assert sorted(r.n_tokens for r in count_tokens(df, "text").collect()) == sorted([len(ref("hello world")), 0, 0, 0, len(ref("a b"))])
+
+
+def test_long_pieces_take_the_same_pairs_as_matrices(monkeypatch):
+    rnd = random.Random(8)
+    pieces = ["".join(rnd.choice("abcetinos") for _ in range(n)) for n in (2, 3, 40, 120, 255)] + ["a" * 200, "ab" * 100, "é" * 99, "-=" * 90]
+    short = E.Encoder(E.vocabulary_path())
+    short.learn(pieces)
+    monkeypatch.setattr(E, "LONG", 0)
+    long = E.Encoder(E.vocabulary_path())
+    long.learn(pieces)
+    assert short.known == long.known
