@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import display_name, shorten
 
+#: What a reviewer is asked; a verdict is required.
+VERDICTS = ("correct", "wrong", "unsure")
 RANKS = {"high": 0, "medium": 1, "low": 2}
 
 
@@ -41,6 +43,23 @@ def answers(export: DataFrame, only_wrong: bool = False) -> DataFrame:
     return out.where("verdict = 'wrong'") if only_wrong else out
 
 
+def form_faults(answered: DataFrame) -> DataFrame:
+    """Answers (with verdict, corrected_value) that the review form doesn't allow, with fault.
+
+    no verdict; unknown verdict (case and outer blanks count); a wrong one without a
+    corrected value; a corrected value beside another verdict.
+    """
+    has_value = F.trim(F.coalesce("corrected_value", F.lit(""))) != ""
+    verdict = F.col("verdict")
+    fault = (
+        F.when(F.coalesce(verdict, F.lit("")) == "", "no verdict")
+        .when(~verdict.isin(*VERDICTS), "unknown verdict")
+        .when((verdict == "wrong") & ~has_value, "no corrected value")
+        .when((verdict != "wrong") & has_value, "needless corrected value")
+    )
+    return answered.withColumn("fault", fault).where("fault is not null")
+
+
 def verdict_counts(answered: DataFrame) -> DataFrame:
     return answered.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from paperloom.functions.keys import strip
 from paperloom.functions.text import table_money
 from paperloom.rules import mortgage as M
 
+#: Cells that hold a row's label and its amount, the first filled one counts.
 LABEL_KEYS = ("label", "Label", "description", "Description", "item", "Item")
 AMOUNT_KEYS = ("amount", "Amount", "value", "Value", "cost", "Cost")
 

@@ -232,6 +232,11 @@ def wrong_answers(spark, d):
     return review.answers(_annotations(spark, d), only_wrong=True)
 
 
+def form_faults(spark, d):
+    r = table(spark, d, "import_corrections")
+    return review.form_faults(r.select("review_id", F.col("reviewer_verdict").alias("verdict"), F.col("reviewer_corrected_value").alias("corrected_value"))).select("review_id", "fault")
+
+
 def extended_aliases(spark, d):
     """The rule pack's aliases with the spellings that reviewers met, by the clean name."""
     known = spark.createDataFrame([(n, f) for f, ns in M.ALIASES.items() for n in ns], "name string, canonical string")
@@ -293,6 +298,6 @@ QUERIES = {
     "sum_mismatches": mismatches("sum"), "generic_totals": mismatches("generic"), "ratio_mismatches": mismatches("ratio"), "all_mismatches": mismatches("all"), "cross_validated": cross_validated,
     "adjusted_confidence": adjusted_confidence, "review_queue": review_queue, "verdict_summary": verdict_summary, "override_rate": override_rate, "latest_annotation": latest_annotation,
     "cache_misses": cache_misses, "frequent_corrections": frequent_corrections, "checked_corrections": checked_corrections, "changed_values": changed_values, "document_counts": document_counts,
-    "field_report": field_report, "json_recovery": json_recovery, "failure_classes": failure_classes, "header_tables": header_tables, "json_arms": json_arms, "wrong_answers": wrong_answers, "extended_aliases": extended_aliases,
+    "field_report": field_report, "json_recovery": json_recovery, "failure_classes": failure_classes, "header_tables": header_tables, "json_arms": json_arms, "wrong_answers": wrong_answers, "form_faults": form_faults, "extended_aliases": extended_aliases,
     "added_tables": added_tables, "low_confidence": low_confidence, "cache_keys": cache_keys, "document_rollup": document_rollup, "document_sources": classified_sources,
 }

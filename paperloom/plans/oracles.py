@@ -220,6 +220,8 @@ near AS (SELECT key, w FROM (SELECT key, o, w, 200.0 * row[length(w) + 1] / (len
 SELECT e.name, e.key, coalesce(f, CASE WHEN own THEN e.key END, near.w, e.key) AS canonical, CASE WHEN f IS NOT NULL THEN 'alias' WHEN own THEN 'schema' WHEN near.w IS NOT NULL THEN 'fuzzy' ELSE 'key' END AS layer FROM e LEFT JOIN near ON near.key = e.key""",
     "json_arms": "SELECT event_id, CASE WHEN event_id % 7 IN (5, 6) THEN NULL ELSE CAST(props->>'$.k' AS BIGINT) END AS k FROM events",
     "wrong_answers": f"SELECT * FROM ({_MADE['latest_annotation']}) WHERE verdict = 'wrong'",
+    "form_faults": """SELECT * FROM (SELECT review_id, CASE WHEN coalesce(reviewer_verdict, '') = '' THEN 'no verdict' WHEN reviewer_verdict NOT IN ('correct', 'wrong', 'unsure') THEN 'unknown verdict'
+  WHEN reviewer_verdict = 'wrong' AND trim(coalesce(reviewer_corrected_value, '')) = '' THEN 'no corrected value' WHEN reviewer_verdict <> 'wrong' AND trim(coalesce(reviewer_corrected_value, '')) <> '' THEN 'needless corrected value' END AS fault FROM import_corrections) WHERE fault IS NOT NULL""",
     "extended_aliases": f"""WITH al(name, canonical) AS (VALUES {_ALIASES}), n AS (SELECT lower(trim(field_display)) AS name, min({_FIELD}) AS canonical FROM import_corrections WHERE {_WRONG} AND field_display IS NOT NULL AND field IS NOT NULL GROUP BY 1)
 SELECT * FROM al UNION ALL SELECT * FROM n WHERE name NOT IN (SELECT name FROM al)""",
     "low_confidence": f"SELECT a.doc_id, a.field, r.raw_value FROM ({_MADE['adjusted_confidence']}) a JOIN ({_MADE['resolved_fields']}) r USING (doc_id, field) WHERE a.confidence = 'low'",

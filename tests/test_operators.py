@@ -233,6 +233,12 @@ def test_parsed_tables_and_told_types(spark):
     assert out.types.first().doc_type == "1/unknown/,2/main/b+a"
 
 
+def test_form_faults(spark):
+    rows = [(1, "correct", None), (2, "wrong", "1"), (3, "wrong", " "), (4, "Wrong", "1"), (5, None, "1"), (6, "unsure", "2"), (7, "", None)]
+    got = review.form_faults(spark.createDataFrame(rows, "id long, verdict string, corrected_value string"))
+    assert {r.id: r.fault for r in got.collect()} == {3: "no corrected value", 4: "unknown verdict", 5: "no verdict", 6: "needless corrected value", 7: "no verdict"}
+
+
 def test_json_files(spark, tmp_path):
     rows = spark.createDataFrame([(2, None), (1, "é\n\"")], "id int, note string")
     writers.write_json_array(rows, str(tmp_path / "all"))
